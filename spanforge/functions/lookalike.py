@@ -17,15 +17,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Invisible characters, spaces that look like the ordinary one, hyphens that look like "-".
-INVISIBLE = "­​‌‍⁠﻿‎‏⁡⁢⁣⁤᠎"
-SPACES = "              　 "
-HYPHENS = "‐‑"
+INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x200E, 0x200F, 0x2061, 0x2062, 0x2063, 0x2064, 0x180E)))
+SPACES = "".join(map(chr, (0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
+HYPHENS = chr(0x2010) + chr(0x2011)
 
 # Letters of other scripts and the Cyrillic letter of the same shape.
 LATIN_CYRILLIC = {
     "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О",
     "P": "Р", "S": "Ѕ", "T": "Т", "X": "Х", "Y": "У", "a": "а", "c": "с", "e": "е", "i": "і", "j": "ј",
-    "o": "о", "p": "р", "s": "ѕ", "x": "х", "y": "у", "Ë": "Ё", "ë": "ё", "Ï": "Ї", "ï": "ї",
+    "o": "о", "p": "р", "s": "ѕ", "x": "х", "y": "у", chr(0xCB): "Ё", chr(0xEB): "ё",
     "d": "ԁ", "h": "һ", "l": "ӏ", "q": "ԛ", "w": "ԝ", "G": "Ԍ", "Q": "Ԛ", "W": "Ԝ",
 }
 GREEK_CYRILLIC = {
@@ -42,11 +42,14 @@ TO_SKELETON = LATIN_CYRILLIC | GREEK_CYRILLIC | GREEK_LATIN
 FULL_WIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 PLAIN = {c: " " for c in SPACES} | {c: "-" for c in HYPHENS} | FULL_WIDTH | {c: "" for c in INVISIBLE}
 # Base letters that carry a breve or a diaeresis in the languages at hand; both scripts, since the base may be disguised.
-COMPOSED = {"й": "й", "Й": "Й", "ё": "ё", "Ё": "Ё", "ў": "ў", "Ў": "Ў", "ї": "ї", "Ї": "Ї"}
+BREVE, DIAERESIS = chr(0x306), chr(0x308)
+COMPOSED = {a + BREVE: chr(c) for a, c in (("и", 0x439), ("И", 0x419), ("у", 0x45E), ("У", 0x40E))} | {
+    a + DIAERESIS: chr(c) for a, c in (("е", 0x451), ("Е", 0x401), ("і", 0x457), ("І", 0x407))
+}
 
 _PLAIN_TABLE = str.maketrans(PLAIN)
 _SKELETON_TABLE = str.maketrans(PLAIN | TO_SKELETON)
-_MARKED = re.compile("[̆̈]")
+_MARKED = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 
 
 def _translate(column: Column, mapping: dict[str, str]) -> Column:
@@ -60,7 +63,7 @@ def _compose(column: Column) -> Column:
     out = column
     for pair, one in COMPOSED.items():
         out = F.replace(out, F.lit(pair), F.lit(one))
-    return F.when(column.rlike("[̆̈]"), out).otherwise(column)
+    return F.when(column.rlike(f"[{BREVE}{DIAERESIS}]"), out).otherwise(column)
 
 
 def plain(column: Column) -> Column:
