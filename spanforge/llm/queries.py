@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import lookalikes
+from spanforge.llm import grouped_splits, lookalikes, splitting
 from spanforge.session import table
 
 
@@ -33,8 +33,52 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return changed.filter("version is null").select("field", "row_key").unionByName(changed.join(current, ["field", "row_key", "version"]).select("field", "row_key"))
 
 
+def split_limits(spark: SparkSession, d: str, purpose: str, most: int = 1000) -> list[tuple[int, int]]:
+    """(max_size, overlap_size) of a purpose, smallest first; the table is a list of settings and checked to be one."""
+    rows = table(spark, d, "size_limits").filter((F.col("purpose") == purpose) & (F.col("max_size") > 0)).select("max_size", F.coalesce("overlap_size", F.lit(0))).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"size_limits holds more than {most} settings")
+    return sorted((int(a), int(b)) for a, b in rows)
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every unit in force that exceeds a limit, char_start counting in its edition."""
+    units = latest(table(spark, d, "norm_units"), ["norm_id"], "loaded_at", ["text", "char_start", "is_repealed"])
+    return splitting.split_texts(units.filter(~F.coalesce("is_repealed", F.lit(False))), "norm_id", "text", split_limits(spark, d, "split"), "char_start")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).filter("piece_no = 0").select("norm_id", "max_chunk")
+
+
+def _p5_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cases = latest(table(spark, d, "eval_cases"), ["case_id"], "loaded_at", ["case_group_id", "procurement_id", "procurement_url", "fas_decision_id", "duplicate_of", "topic"])
+    of = lambda kind, c: F.concat(F.lit(kind), grouped_splits.link_value(c))
+    number = F.regexp_extract("procurement_url", r"(?i)regNumber=([^&#\s]+)", 1)
+    keys = F.array(
+        of("group ", F.col("case_group_id")), of("purchase ", F.col("procurement_id")), of("purchase ", number),
+        of("decision ", F.col("fas_decision_id")), of("case ", F.col("case_id")), of("case ", F.col("duplicate_of")),
+    )
+    return cases, cases.select("case_id", F.explode(keys).alias("key"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    _, links = _p5_links(spark, d)
+    return grouped_splits.components(links, "case_id", "key").filter("root <> case_id").select(F.col("root").alias("root_case_id"), "case_id")
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """A train, validation or test split for every case, linked cases together."""
+    cases, links = _p5_links(spark, d)
+    roots = grouped_splits.components(links, "case_id", "key")
+    members = cases.select("case_id", "topic").join(roots, "case_id")
+    return grouped_splits.grouped_splits(members, "case_id", "root", "topic", {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
 def queries() -> dict:
-    return {"p7_found": p7_found}
+    return {
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
