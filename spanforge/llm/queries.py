@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import grouped_splits, lookalikes, splitting
+from spanforge.llm import cross_split, grouped_splits, lookalikes, splitting
 from spanforge.session import table
 
 
@@ -75,9 +75,29 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_splits.grouped_splits(members, "case_id", "root", "topic", {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+def _p3_records(spark: SparkSession, d: str) -> DataFrame:
+    cases = latest(table(spark, d, "eval_cases"), ["case_id"], "loaded_at", ["split", "topic", "complaint_argument_raw"])
+    return cases.withColumn("split", F.lower(F.regexp_replace("split", r"\s", ""))).filter(F.col("split").isin("dev", "eval"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    members, linked, _ = cross_split.overlap_report(_p3_records(spark, d), "case_id", "split", "complaint_argument_raw")
+    return cross_split.member_pairs(members, linked).select(F.col("key_1").alias("case_id_1"), F.col("key_2").alias("case_id_2"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and topic: cases, those that stand in the other split too, and their pairs."""
+    records = _p3_records(spark, d)
+    members, linked, _ = cross_split.overlap_report(records, "case_id", "split", "complaint_argument_raw")
+    ends = cross_split.member_pairs(members, linked).select(F.explode(F.array("key_1", "key_2")).alias("case_id"))
+    pairs = ends.groupBy("case_id").agg(F.count("*").alias("pairs"))
+    joined = records.select("case_id", "split", F.coalesce("topic", F.lit("")).alias("topic")).join(pairs, "case_id", "left")
+    return joined.groupBy("split", "topic").agg(F.count("*").alias("cases"), F.count("pairs").alias("overlapping_cases"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found,
     }
 
 
