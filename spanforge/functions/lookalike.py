@@ -49,6 +49,7 @@ COMPOSED = {a + BREVE: chr(c) for a, c in (("и", 0x439), ("И", 0x419), ("у",
 
 _PLAIN_TABLE = str.maketrans(PLAIN)
 _SKELETON_TABLE = str.maketrans(PLAIN | TO_SKELETON)
+_NOT_PLAIN = re.compile("[" + re.escape("".join(PLAIN)) + "]")
 _MARKED = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 
 
@@ -82,8 +83,10 @@ def caseless_skeleton(column: Column) -> Column:
 
 
 def plain_text(text: str) -> str:
-    out = text.translate(_PLAIN_TABLE)
-    return unicodedata.normalize("NFC", out) if not out.isascii() and _MARKED.search(out) else out
+    if text.isascii():
+        return text
+    out = text.translate(_PLAIN_TABLE) if _NOT_PLAIN.search(text) else text
+    return unicodedata.normalize("NFC", out) if _MARKED.search(out) else out
 
 
 def skeleton_text(text: str) -> str:
