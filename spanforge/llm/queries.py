@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import cross_split, grouped_splits, lookalikes, splitting
+from spanforge.llm import cross_split, grouped_splits, leaks, lookalikes, splitting
 from spanforge.session import table
 
 
@@ -95,9 +95,19 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("split", "topic").agg(F.count("*").alias("cases"), F.count("pairs").alias("overlapping_cases"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each affected document with the items it holds, the passage, its edits and its similarity."""
+    return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "bench_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found,
+        "p9_found": p9_found, "p9_leaks": p9_leaks,
     }
 
 
