@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import cross_split, grouped_splits, leaks, lookalikes, splitting
+from spanforge.llm import cross_split, grouped_splits, leaks, lookalikes, personal, splitting
 from spanforge.session import table
 
 
@@ -95,6 +95,26 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("split", "topic").agg(F.count("*").alias("cases"), F.count("pairs").alias("overlapping_cases"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
+def _p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, field, item_no, text) of all texts of the problem, the latest row of each case."""
+    cases = latest(table(spark, d, "eval_cases"), ["case_id"], "loaded_at", ["complaint_argument_raw"])
+    public = latest(table(spark, d, "public_cases"), ["case_id"], "loaded_at", ["doc_fragment", "gold_evidence"])
+    raw = cases.select("case_id", F.lit("complaint_argument_raw").alias("field"), F.lit(-1).alias("item_no"), F.col("complaint_argument_raw").alias("text"))
+    part = public.select("case_id", F.lit("doc_fragment").alias("field"), F.lit(-1).alias("item_no"), F.col("doc_fragment").alias("text"))
+    quotes = public.select("case_id", F.posexplode("gold_evidence").alias("item_no", "e"))
+    quoted = quotes.select("case_id", F.lit("decision_quote").alias("field"), "item_no", F.col("e.decision_quote").alias("text"))
+    return raw.unionByName(part).unionByName(quoted)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_data(_p6_texts(spark, d), "text").select("case_id", "field", "item_no", "kind", "char_start", "char_end")
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with typed placeholders."""
+    return personal.redacted(_p6_texts(spark, d), "text", "spanforge").select("case_id", "field", "item_no", "redacted")
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Each affected document with the items it holds, the passage, its edits and its similarity."""
     return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "bench_items"), "item_id", "text")
@@ -106,7 +126,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p7_found": p7_found,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found,
         "p9_found": p9_found, "p9_leaks": p9_leaks,
     }
 
