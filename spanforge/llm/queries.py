@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import cross_split, grouped_splits, leaks, lookalikes, personal, splitting
+from spanforge.llm import boilerplate, cross_split, grouped_splits, leaks, lookalikes, personal, splitting
 from spanforge.session import table
 
 
@@ -51,6 +51,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).filter("piece_no = 0").select("norm_id", "max_chunk")
 
 
+def _p4_judged(spark: SparkSession, d: str) -> DataFrame:
+    blocks = latest(table(spark, d, "blocks"), ["block_id"], None, ["page_id", "block_order", "kind", "text"])
+    pages = latest(table(spark, d, "pages"), ["page_id"], "fetched_at", ["site"])
+    return boilerplate.judged_blocks(blocks.join(pages, "page_id", "left"), "site", "kind", "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_judged(spark, d).filter("is_frame").select("block_id")
+
+
+def p4_main(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of the main body of each page with their place in it."""
+    w = Window.partitionBy("page_id").orderBy("block_order", "block_id")
+    return _p4_judged(spark, d).filter("not is_frame").select("page_id", F.row_number().over(w).alias("place"), "block_id", "text")
+
+
 def _p5_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     cases = latest(table(spark, d, "eval_cases"), ["case_id"], "loaded_at", ["case_group_id", "procurement_id", "procurement_url", "fas_decision_id", "duplicate_of", "topic"])
     of = lambda kind, c: F.concat(F.lit(kind), grouped_splits.link_value(c))
@@ -126,7 +142,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_main": p4_main, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found,
         "p9_found": p9_found, "p9_leaks": p9_leaks,
     }
 
