@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import boilerplate, cross_split, grouped_splits, leaks, lookalikes, personal, splitting
+from spanforge.llm import boilerplate, cross_split, grouped_splits, leaks, lookalikes, personal, reading_level, splitting
 from spanforge.session import table
 
 
@@ -140,10 +140,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, labels = table(spark, d, "documents"), table(spark, d, "reading_labels")
+    return reading_level.reading_levels(documents, "doc_id", "text", "source", labels, "doc_id", "level_label")[0]
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_main": p4_main, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found,
-        "p9_found": p9_found, "p9_leaks": p9_leaks,
+        "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
     }
 
 
