@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
-from spanforge.llm import boilerplate, cross_split, grouped_splits, leaks, lookalikes, personal, reading_level, splitting
+from spanforge.llm import boilerplate, cross_split, grouped_splits, leaks, lookalikes, packing, personal, reading_level, splitting
 from spanforge.session import table
 
 
@@ -131,6 +133,27 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(_p6_texts(spark, d), "text", "spanforge").select("case_id", "field", "item_no", "redacted")
 
 
+def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
+    """Place and splitting pattern of a public tokenizer; SPANFORGE_TOKENIZER names another file of ranks."""
+    import public_tokenizers
+
+    return os.environ.get("SPANFORGE_TOKENIZER") or str(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of each `pack` capacity."""
+    counted = packing.token_counts(table(spark, d, "documents"), "doc_id", "text", *tokenizer_file())
+    return packing.containers(counted, "doc_id", "n_tokens", [c for c, _ in split_limits(spark, d, "pack")])
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: containers, tokens, and the share of the containers' room that is used."""
+    placed = p8_containers(spark, d).withColumn("n", F.col("token_end") - F.col("token_start"))
+    return placed.groupBy("capacity").agg(
+        F.countDistinct("container").alias("containers"), F.sum("n").alias("tokens"), F.round(F.sum("n") / (F.countDistinct("container") * F.first("capacity")), 4).alias("fill")
+    )
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Each affected document with the items it holds, the passage, its edits and its similarity."""
     return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "bench_items"), "item_id", "text")
@@ -148,7 +171,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_main": p4_main, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found,
-        "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
+        "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
     }
 
 
