@@ -37,9 +37,9 @@ def change_log(snapshots: DataFrame, entity: list[str], position: str, attribute
         lambda e: e["starts"],
     )
     ends = F.when(F.col("_last"), F.array(*(F.struct(F.lit(a).alias("attribute"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("starts")) for a in attributes)))
-    started = flagged.select(*entity, "_at", F.explode(events).alias("e"))
-    ended = flagged.filter("_last").select(*entity, (F.col("_at") + 1).alias("_at"), F.explode(ends).alias("e"))
-    log = started.unionByName(ended).select(*entity, "_at", "e.attribute", "e.value", "e.starts")
+    started = flagged.select(*entity, "_at", F.explode(events).alias("_e"))
+    ended = flagged.filter("_last").select(*entity, (F.col("_at") + 1).alias("_at"), F.explode(ends).alias("_e"))
+    log = started.unionByName(ended).select(*entity, "_at", "_e.attribute", "_e.value", "_e.starts")
     # At one position an end comes before a start: after a gap of no length there is none, as fresh rows start anew.
     by_attribute = Window.partitionBy(*entity, "attribute").orderBy("_at", "starts")
     closed = log.withColumn("to_position", F.lead("_at").over(by_attribute))
@@ -52,22 +52,22 @@ def combine_logs(log: DataFrame, entity: list[str], attributes: list[str]) -> Da
     Time is split at the union of the logs' boundaries; pieces in which the entity is absent vanish and adjacent pieces
     with equal values are coalesced.
     """
-    marks = log.select(*entity, F.explode(F.array("from_position", "to_position")).alias("at")).distinct()
-    changes = log.groupBy(*entity, F.col("from_position").alias("at")).agg(
+    marks = log.select(*entity, F.explode(F.array("from_position", "to_position")).alias("_at")).distinct()
+    changes = log.groupBy(*entity, F.col("from_position").alias("_at")).agg(
         *(F.max(F.when(F.col("attribute") == a, F.struct("to_position", "value"))).alias(f"_{a}") for a in attributes)
     )
-    w = Window.partitionBy(*entity).orderBy("at")
+    w = Window.partitionBy(*entity).orderBy("_at")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pieces = marks.join(changes, [*entity, "at"], "left").select(
-        *entity, "at", F.lead("at").over(w).alias("to"), *(F.last(f"_{a}", ignorenulls=True).over(upto).alias(f"_{a}") for a in attributes)
+    pieces = marks.join(changes, [*entity, "_at"], "left").select(
+        *entity, "_at", F.lead("_at").over(w).alias("_to"), *(F.last(f"_{a}", ignorenulls=True).over(upto).alias(f"_{a}") for a in attributes)
     )
-    alive = pieces.filter(F.col("to").isNotNull() & F.greatest(*(F.col(f"_{a}.to_position") for a in attributes), F.lit(0)).__gt__(F.col("at")))
-    rows = alive.select(*entity, "at", "to", *(F.col(f"_{a}.value").alias(a) for a in attributes))
-    same = F.lag("to").over(w).eqNullSafe(F.col("at"))
+    alive = pieces.filter(F.col("_to").isNotNull() & F.greatest(*(F.col(f"_{a}.to_position") for a in attributes), F.lit(0)).__gt__(F.col("_at")))
+    rows = alive.select(*entity, "_at", "_to", *(F.col(f"_{a}.value").alias(a) for a in attributes))
+    same = F.lag("_to").over(w).eqNullSafe(F.col("_at"))
     for a in attributes:
         same = same & F.lag(a).over(w).eqNullSafe(F.col(a))
     run = rows.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
-    return run.groupBy(*entity, "_run").agg(F.min("at").alias("from_position"), F.max("to").alias("to_position"), *(F.first(a).alias(a) for a in attributes)).drop("_run")
+    return run.groupBy(*entity, "_run").agg(F.min("_at").alias("from_position"), F.max("_to").alias("to_position"), *(F.first(a).alias(a) for a in attributes)).drop("_run")
 
 
 def entity_history(snapshots: DataFrame, entity: list[str], position: str, attributes: list[str]) -> DataFrame:
