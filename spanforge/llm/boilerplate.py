@@ -36,7 +36,7 @@ def paths(blocks: DataFrame, text: str) -> DataFrame:
     folded = F.regexp_replace(caseless_skeleton(F.coalesce(F.col(text), F.lit(""))), r"\x{301}", "")
     masked = F.regexp_replace(F.regexp_replace(F.trim(F.translate(folded, "[]", "")), "«[^»]*»+", "@"), r"\d+", "0")
     parts = F.filter(F.split(masked, _SEPARATORS), lambda s: F.trim(s) != "")
-    first, last = F.trim(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), F.trim(F.coalesce(F.element_at(parts, -1), F.lit("")))
+    first, last = F.trim(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), F.trim(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")))
     # The leading marks of quotations, lists and dialogue are no part of a node.
     first = F.regexp_replace(first, r"^[\s—–>*-]+", "")
     label = F.regexp_extract(first, r"^([^.:!?]{1,60}[:.!?])(?:\s|$)", 1)

@@ -203,7 +203,8 @@ def leaked_items(
     A passage is at least ``least`` successive words of the item, or the whole item, of which at most ``share`` are
     changed, added or dropped; item_start and item_end count its words.  Letter case, punctuation, spacing, line breaks
     and look-alikes make no difference.  Items shorter than a window are searched whole only if they have a window; null
-    and empty texts hold nothing.  Repeated rows yield repeated results.
+    and empty texts hold nothing.  Repeated rows yield repeated results.  Where both ids have one name, the item's gets the
+    prefix item_.
 
     The items are the query set: they are broadcast in blocks of at most ``block_chars`` characters, one pass over the
     documents for each block, so that what is broadcast never grows with the data.  Documents are not shuffled.
@@ -229,4 +230,4 @@ def leaked_items(
 
         found = corpus.mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
+    return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id if item_id != doc_id else f"item_{item_id}"})

@@ -186,13 +186,13 @@ def train(sentences: list[list[list[float]]], y: np.ndarray, raters: np.ndarray,
     return model
 
 
-def reading_levels(documents: DataFrame, doc_id: str, text: str, source: str, labels: DataFrame, label_doc: str, label: str, least_words: int = 40, sample: int = SAMPLE) -> tuple[DataFrame, LevelModel]:
+def reading_levels(documents: DataFrame, doc_id: str, text: str, source: str, labels: DataFrame, label_doc: str, label: str, least_words: int = 40, sample: int = SAMPLE) -> tuple[DataFrame, LevelModel | None]:
     """(doc_id, reading_level) of each Russian document of at least ``least_words`` words, and the fitted model.
 
     Russian is told by the letters, not by a language column.  The raters' labels of a document are averaged, more raters
     weighing more; labels outside the levels and null ones are ignored.  At most ``sample`` rated documents, by a hash of
     their ids, are collected for the fit; all documents are graded, whole, where they lie.  Null and short texts have
-    no level; null sources are one source.  Without labels there is nothing to fit: ValueError.
+    no level; null sources are one source.  Without rated documents nothing can be fitted: no rows and no model.
     """
     rated = labels.filter(F.col(label).between(LEVELS[0], LEVELS[-1])).groupBy(F.col(label_doc).alias("id")).agg(F.avg(label).alias("y"), F.count("*").alias("n"))
     some = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -206,7 +206,7 @@ def reading_levels(documents: DataFrame, doc_id: str, text: str, source: str, la
 
     rows = known.join(F.broadcast(some), "id").mapInPandas(describe, f"id {key_type}, source string, y double, n long, x array<array<double>>").toPandas()
     if rows.empty:
-        raise ValueError("no rated document to fit on")
+        return documents.sparkSession.createDataFrame([], f"{doc_id} {key_type}, reading_level int"), None
     rows = rows.sort_values("id")
     model = train([[list(r) for r in x] for x in rows["x"]], rows["y"].to_numpy(float), rows["n"].to_numpy(float), rows["source"].to_numpy())
     shared = documents.sparkSession.sparkContext.broadcast(model)
