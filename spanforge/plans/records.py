@@ -101,7 +101,7 @@ def chunk_faults(s, d):
 def chunk_units(s, d):
     """The units whose span each chunk meets, by an interval join in its edition."""
     c = latest(table(s, d, "chunks"), ["chunk_id"], None, ["norm_ids", "char_start", "char_end"])
-    c = c.withColumn("edition", F.regexp_extract(F.col("norm_ids")[0], "^([^:]*:[^:]*)", 1)).filter("char_end > char_start")
+    c = c.withColumn("edition", F.regexp_extract(F.get("norm_ids", F.lit(0)), "^([^:]*:[^:]*)", 1)).filter("char_end > char_start")
     u = units(s, d).filter("not is_repealed").withColumn("edition", F.regexp_extract("norm_id", "^([^:]*:[^:]*)", 1))
     return corpus.intersecting_units(c, u, "edition", "chunk_id").select("chunk_id", F.size("norm_ids").alias("units"), F.array_join("norm_ids", "|").alias("norm_ids"))
 

@@ -191,7 +191,7 @@ def neighbors(s, d):
 
 def overlap_weighted(s, d):
     b = base(s, d)
-    law = F.regexp_extract(F.element_at("norm_ids", 1), "^([^:]*)", 1)
+    law = F.regexp_extract(F.get("norm_ids", F.lit(0)), "^([^:]*)", 1)
     spans = latest(table(s, d, "norm_units").filter("unit_level = 'article'"), ["norm_id"], "loaded_at", ["edition_id", "is_repealed", "char_start", "char_end"])
     newest = b.corpus.select(F.explode("norm_ids").alias("n")).select(F.regexp_extract("n", "^([^:]*)", 1).alias("law"), F.regexp_extract("n", "^[^:]*:([^:]*)", 1).alias("edition_id")).groupBy("law").agg(F.max("edition_id").alias("edition_id"))
     whole = table(s, d, "norm_units").groupBy(F.regexp_replace("norm_id", r"^([^:]*:[^:]*:art\.[^:]*).*$", "$1").alias("norm_id")).agg(F.min("char_start").alias("start"), F.max("char_end").alias("end"))
