@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.lookalike import caseless_skeleton
+from spanforge.operators.joins import lookup
 from spanforge.session import cut
 
 KINDS = ("chapter_title", "article_title", "body", "other", "")
@@ -88,6 +89,7 @@ def judged_blocks(blocks: DataFrame, host: str, kind: str, text: str) -> DataFra
     known = F.when(F.col(kind).isin(*KINDS[:4]), F.col(kind)).otherwise("")
     rows = paths(blocks, text).withColumn("_kind", known).withColumn("_host", F.coalesce(F.col(host), F.lit("")))
     rows = rows.withColumns({"_h": F.xxhash64(F.lit("head"), "_head"), "_t": F.when(F.col("_tail") != "", F.xxhash64(F.lit("tail"), "_tail")).otherwise(F.xxhash64(F.lit("none"), "_whole")), "_w": F.xxhash64(F.lit("whole"), "_whole")})
+    rows = cut(rows)
     # A missing tail has a key that matches nothing, spread like the blocks.
     nodes = F.when(F.col("_tail") != "", F.array("_h", "_t", "_w")).otherwise(F.array("_h", "_w"))
     distinct = rows.select("_host", "_kind", F.explode(nodes).alias("node"))
@@ -107,14 +109,14 @@ def judged_blocks(blocks: DataFrame, host: str, kind: str, text: str) -> DataFra
     common = everywhere.filter(total >= LEAST).withColumn("_host", F.lit(None).cast("string"))
     values = cut(hosts.select("_host", "node", *columns).unionByName(common.select("_host", "node", *columns)).mapInPandas(judge, "_host string, node long, value double, n long"))
     local, general = values.filter("_host is not null"), values.filter("_host is null").drop("_host")
-    places = rows.select("_host", F.explode(nodes).alias("node")).distinct()
     general = general.select("node", F.struct("n", "value").alias("general"))
     local = local.select("_host", "node", F.struct(F.lit(None).cast("long").alias("n"), "value").alias("local"))
-    valued = places.join(general, "node").join(local, ["_host", "node"], "left")
+    placed = on_host.select("_host", "node", total.alias("_rows"))
+    valued = placed.join(general, "node").join(local, ["_host", "node"], "left")
     # How frequent a node is counts over all hosts; how important it is, on the host where that has enough.
-    valued = valued.select("_host", "node", F.struct(F.col("general.n").alias("n"), F.coalesce("local.value", "general.value").alias("value")).alias("v"))
+    valued = cut(valued.select("_host", "node", "_rows", F.struct(F.col("general.n").alias("n"), F.coalesce("local.value", "general.value").alias("value")).alias("v")))
     for role in ("h", "t", "w"):
-        rows = rows.join(valued.select("_host", F.col("node").alias(f"_{role}"), F.col("v").alias(f"_v{role}")), ["_host", f"_{role}"], "left")
+        rows = lookup(rows, valued.select("_host", F.col("node").alias(f"_{role}"), F.col("v").alias(f"_v{role}"), "_rows"), ["_host", f"_{role}"], "_rows", "left")
     noise, safe = (lambda v: F.coalesce(F.col(v)["value"] < NOISE, F.lit(False))), (lambda v: F.coalesce(F.col(v)["value"] > SAFE, F.lit(False)))
     whole = (noise("_vw") | safe("_vw")) & (F.col("_vw.n") >= LEAST_WHOLE)
     by_tail = noise("_vt") & (~safe("_vh") | (F.col("_vt.n") > F.col("_vh.n")))

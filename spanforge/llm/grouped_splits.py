@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.lookalike import caseless_skeleton
+from spanforge.operators.joins import lookup
 from spanforge.session import cut
 
 # Ways of writing "unknown", as letters and digits only.
@@ -27,23 +28,25 @@ def components(links: DataFrame, node: str, key: str, most_rounds: int = 60) ->
 
     Nodes that share a key are linked; null keys link nothing and null nodes are left out.  Large-star and small-star
     rounds run until the edges stand still; a component of a third of all nodes is a star after the first rounds, and a
-    round moves each of its edges once, its minimum being found by partial aggregates.  The join that hands a
-    minimum to the edges of a hot node is split by adaptive execution.  Every round is written to the shared folder.
+    round moves each of its edges once, its minimum being found by partial aggregates and handed to hot nodes'
+    and keys' rows where they lie.  Every round is written to the shared folder.
     """
     rows = links.select(F.col(node).alias("u"), F.col(key).alias("k")).filter("u is not null")
     nodes = rows.select("u").distinct()
     keyed = rows.filter("k is not null").distinct()
-    centre = keyed.groupBy("k").agg(F.min("u").alias("m"), F.count("*").alias("n")).filter("n > 1").select("k", "m")
-    edges = cut(keyed.join(centre, "k").filter("u <> m").select("u", F.col("m").alias("v")).distinct())
+    centre = keyed.groupBy("k").agg(F.min("u").alias("m"), F.count("*").alias("n")).filter("n > 1")
+    edges = cut(lookup(keyed, centre, ["k"], "n").filter("u <> m").select("u", F.col("m").alias("v")).distinct())
     before = None
     for _ in range(most_rounds):
         # Large star: every greater neighbour of a node is tied to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # (both sides of an edge: a node's weight in ``both`` is its degree)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = lookup(both.filter("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: a node and its lesser neighbours are tied to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        large = cut(large)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, low, ["u"], "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.*").filter("u <> v").distinct())
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
