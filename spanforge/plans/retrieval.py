@@ -6,7 +6,7 @@ cosine of term sets.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,15 +21,48 @@ POOL = 50
 BOTH = {"bm25": 2.0, "cosine": 1.0}
 
 
-@dataclass
 class Base:
-    cases: DataFrame
-    asked: DataFrame
-    corpus: DataFrame
-    bridge: DataFrame
-    gold: DataFrame
-    posted: DataFrame
-    made: dict = field(default_factory=dict)
+    """The relations that the queries share; what several branches of a plan read is written once."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def cases(self) -> DataFrame:
+        return latest(table(self.spark, self.d, "eval_cases"), ["case_id"], "loaded_at", ["complaint_argument_blind", "gold_norms", "topic", "split", "case_group_id", "issue_type"])
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("long")
+        rows = table(self.spark, self.d, "eval_cases").filter(number % 50 == 0)
+        one = latest(rows, ["case_id"], "loaded_at", ["complaint_argument_blind", "gold_norms", "topic", "split", "case_group_id"])
+        return cut(one.filter(F.col("complaint_argument_blind").isNotNull()))
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return self.chosen.select(F.col("case_id").alias("query_id"), F.col("complaint_argument_blind").alias("text"), "topic", F.lower(F.regexp_replace("split", r"\s", "")).alias("split"))
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return cut(latest(table(self.spark, self.d, "chunks"), ["chunk_id"], None, ["text", "norm_ids", "char_start", "char_end"]).withColumnRenamed("chunk_id", "item"))
+
+    @cached_property
+    def bridge(self) -> DataFrame:
+        return self.corpus.select("item", F.explode("norm_ids").alias("n")).select("item", ids.article_key(F.col("n")).alias("article")).distinct()
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        rows = self.chosen.select(F.col("case_id").alias("query_id"), F.explode("gold_norms").alias("n"))
+        return rows.select("query_id", ids.unit_key(F.col("n")).alias("norm_id"), ids.article_key(F.col("n")).alias("article")).distinct()
+
+    @cached_property
+    def posted(self) -> DataFrame:
+        return cut(lexical.postings(self.corpus, "item", "text"))
+
+    @cached_property
+    def rankings_(self) -> DataFrame:
+        cols = ["query_id", "source", "rank", "item"]
+        return cut(self.bm25().withColumn("source", F.lit("bm25")).select(cols).unionByName(self.cosine().withColumn("source", F.lit("cosine")).select(cols)))
 
     def bm25(self, k: int = POOL) -> DataFrame:
         return lexical.bm25_search(self.posted, "item", self.asked, "query_id", "text", k)
@@ -38,14 +71,8 @@ class Base:
         return lexical.set_cosine_search(self.posted, "item", self.asked, "query_id", "text", k)
 
     def rankings(self) -> DataFrame:
-        """(query_id, source, rank, item), written once for all that a query builds on it."""
-        cols = ["query_id", "source", "rank", "item"]
-        if "rankings" not in self.made:
-            self.made["rankings"] = cut(self._both(cols))
-        return self.made["rankings"]
-
-    def _both(self, cols: list[str]) -> DataFrame:
-        return self.bm25().withColumn("source", F.lit("bm25")).select(cols).unionByName(self.cosine().withColumn("source", F.lit("cosine")).select(cols))
+        """(query_id, source, rank, item)."""
+        return self.rankings_
 
     def retrieved(self, ranking: DataFrame) -> DataFrame:
         """A ranking with the units (without edition) and articles of its chunks."""
@@ -54,14 +81,7 @@ class Base:
 
 
 def base(spark: SparkSession, d: str) -> Base:
-    cases = latest(table(spark, d, "eval_cases"), ["case_id"], "loaded_at", ["complaint_argument_blind", "gold_norms", "topic", "split", "case_group_id", "issue_type"])
-    number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("long")
-    chosen = cases.filter((number % 50 == 0) & F.col("complaint_argument_blind").isNotNull())
-    asked = chosen.select(F.col("case_id").alias("query_id"), F.col("complaint_argument_blind").alias("text"), "topic", F.lower(F.regexp_replace("split", r"\s", "")).alias("split"))
-    corpus = latest(table(spark, d, "chunks"), ["chunk_id"], None, ["text", "norm_ids", "char_start", "char_end"]).withColumnRenamed("chunk_id", "item")
-    bridge = corpus.select("item", F.explode("norm_ids").alias("n")).select("item", ids.article_key(F.col("n")).alias("article")).distinct()
-    gold = chosen.select(F.col("case_id").alias("query_id"), F.explode("gold_norms").alias("n")).select("query_id", ids.unit_key(F.col("n")).alias("norm_id"), ids.article_key(F.col("n")).alias("article")).distinct()
-    return Base(cases, asked, corpus, bridge, gold, lexical.postings(corpus, "item", "text"))
+    return Base(spark, d)
 
 
 def _articles(b: Base, weights: dict[str, float] | None = None, limit: int = 10) -> DataFrame:
@@ -319,7 +339,7 @@ def bootstrap_interval(s, d):
     b = base(s, d)
     one = metrics.score_cases(b.gold, b.retrieved(b.bm25(10)), 10).select("query_id", F.col("article").alias("base"))
     two = metrics.score_cases(b.gold, b.retrieved(b.cosine(10)), 10).select("query_id", F.col("article").alias("cand"))
-    rows = one.join(two, "query_id").join(b.cases.select(F.col("case_id").alias("query_id"), F.coalesce("case_group_id", "case_id").alias("g")), "query_id")
+    rows = one.join(two, "query_id").join(b.chosen.select(F.col("case_id").alias("query_id"), F.coalesce("case_group_id", "case_id").alias("g")), "query_id")
     return s.createDataFrame([metrics.group_bootstrap(rows, "g", "base", "cand")], "mean_delta double, low double, high double")
 
 
