@@ -36,15 +36,15 @@ def paths(blocks: DataFrame, text: str) -> DataFrame:
     """``blocks`` with the masked nodes ``head``, ``tail`` and ``whole``; null and empty texts have empty nodes."""
     folded = F.regexp_replace(caseless_skeleton(F.coalesce(F.col(text), F.lit(""))), r"\x{301}", "")
     masked = F.regexp_replace(F.regexp_replace(F.trim(F.translate(folded, "[]", "")), "«[^»]*»+", "@"), r"\d+", "0")
-    parts = F.filter(F.split(masked, _SEPARATORS), lambda s: F.trim(s) != "")
+    # Prose has no separator: the split is spared there.
+    parts = F.when(masked.rlike(r"[|·›»¦•→←/\n]|  "), F.filter(F.split(masked, _SEPARATORS), lambda s: F.trim(s) != "")).otherwise(F.filter(F.array(masked), lambda s: s != ""))
     first, last = F.trim(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), F.trim(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")))
     # The leading marks of quotations, lists and dialogue are no part of a node.
     first = F.regexp_replace(first, r"^[\s—–>*-]+", "")
     label = F.regexp_extract(first, r"^([^.:!?]{1,60}[:.!?])(?:\s|$)", 1)
     sentence = F.regexp_extract(first, r"^(.*?[.!?:;])(?:\s|$)", 1)
     head = F.when(label != "", label).when(sentence != "", sentence).otherwise(first)
-    ending = F.regexp_extract(last, r"(?:^|.*[.!?]\s+)([^.!?]+[.!?]*)$", 1)
-    tail = F.when(ending != "", ending).otherwise(last)
+    tail = F.trim(F.try_element_at(F.split(last, r"(?<=[.!?])\s+"), F.lit(-1)))
     # A block of one sentence has no tail.
     tail = F.when((F.size(parts) > 1) | (F.length(tail) < F.length(last)), F.regexp_replace(tail, "[.!?]+$", "")).otherwise("")
     return blocks.select("*", head.alias("_head"), tail.alias("_tail"), F.array_join(parts, "|").alias("_whole"))
