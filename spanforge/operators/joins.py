@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which holds one row for each key and in ``weight`` how many of ``rows`` have it.
 
     Hot keys, a thousand at most by their definition, are broadcast, so that their rows stay where they are; all others
     are shuffled, and none of them can fill a task.  ``how`` is inner or left; rows with a null key match nothing and, in a
     left join, stay where they are too.  The weight is dropped.  Columns of both sides must differ but for the keys.
+    ``total`` spares the count of the rows to a caller that knows it, or a number it is not far from.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    if total is None:
+        total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     hot = table.filter(F.col(weight) * HOT_KEYS >= max(total, 1)).drop(weight)
     cold = table.filter(F.col(weight) * HOT_KEYS < max(total, 1)).drop(weight)
     first = rows.join(F.broadcast(hot), keys)
