@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])[»\"”)]*\s+(?=[^a-zа-яё])|\n+")
-_CYRILLIC, _LATIN = re.compile("[А-Яа-яЁё]"), re.compile("[A-Za-z]")
-_ABSTRACT = re.compile(r"\w(?:ени[еяюи]|ани[еяюи]|ность|ности|ци[яию]|ств[оаеу]|тельн\w*)\b")
-_PARTICIPLE = re.compile(r"\w(?:ющ|ящ|ущ|вш|нн|емы)(?:ий|ая|ее|ие|его|ей|их|ими|ую|ым|ых|ой|ого|ому|ые|ый|ое|ом|ся)\w*\b")
-_LINKS = re.compile(r"\b(?:котор\w+|что|чтобы|если|поскольку|вследствие|включая|путём|постольку|посредством|предусмотренн\w*|указанн\w*|согласно|применительно|безотносительно|исключительно)\b", re.I)
+_CYRILLIC, _LATIN = re.compile("[А-Яа-яЁё]+"), re.compile("[A-Za-z]+")
+
+# Endings of abstract nouns and of participles (a stem's last letters and an adjective's ending), linking words.
+_ABSTRACT = frozenset("ение ения ению ении ание ания анию ании ость ости ация ации ацию иция иции ство ства ству стве".split())
+_PARTICIPLE = frozenset(a + b for a in ("ющ", "ящ", "ущ", "ащ", "вш", "нн", "ем") for b in ("ий", "ая", "ее", "ие", "ей", "их", "ую", "ый", "ое", "ые", "ым", "ых", "ой", "ом", "им"))
+_PARTICIPLE_LONG = frozenset(a + b for a in ("ющ", "ящ", "ущ", "ащ", "вш", "нн", "ем") for b in ("его", "ему", "ими", "ого", "ому", "ыми"))
+_LINKS = frozenset("что чтобы если поскольку вследствие включая путём постольку посредством согласно применительно безотносительно исключительно".split())
+_LINK_STEMS = frozenset(("котор", "преду", "указа"))
 
 #: The number of rated documents the trees are fitted on, at most; taken by a hash of their ids.
 SAMPLE = 4000
@@ -32,26 +37,31 @@ FEATURES = 12
 
 
 def is_russian(text: str) -> bool:
-    cyrillic = len(_CYRILLIC.findall(text))
-    return cyrillic > 0 and (text.isascii() is False) and cyrillic > len(_LATIN.findall(text))
+    """Whether more letters of a text are Russian ones than Latin ones."""
+    return not text.isascii() and sum(map(len, _CYRILLIC.findall(text))) > sum(map(len, _LATIN.findall(text)))
+
+
+def has_words(text: str, least: int) -> bool:
+    return next(islice(_WORD.finditer(text), least - 1, None), None) is not None if least > 0 else True
 
 
 def features(text: str) -> list[list[float]]:
     """One row for each sentence of at least two words; the first column is its letters.  No words, no rows."""
     rows, before = [], set()
     for s in _SENTENCE.split(text):
-        w = _LETTERS.findall(s)
+        w = _LETTERS.findall(s.lower())
         n = len(w)
         if n < 2:
             continue
         sizes = [len(x) for x in w]
         letters = sum(sizes)
-        stems = {x[:5].lower() for x in w if len(x) > 3}
+        stems = {x[:5] for x in w if len(x) > 3}
         shared = len(before & stems) / min(len(before), len(stems)) if before and stems else 0.0
         before = stems
         rows.append([
             letters, n, letters / n, sum(x >= 10 for x in sizes) / n, sum(x <= 4 for x in sizes) / n, max(sizes), s.count(",") / n,
-            len(_ABSTRACT.findall(s)) / n, len(_PARTICIPLE.findall(s)) / n, len(_LINKS.findall(s)) / n, len({x.lower() for x in w}) / n, shared,
+            sum(x[-4:] in _ABSTRACT for x in w) / n, sum(x[-4:] in _PARTICIPLE or x[-5:] in _PARTICIPLE_LONG for x in w) / n,
+            sum(x in _LINKS or x[:5] in _LINK_STEMS for x in w) / n, len(set(w)) / n, shared,
         ])
     return rows
 
@@ -213,7 +223,7 @@ def reading_levels(documents: DataFrame, doc_id: str, text: str, source: str, la
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            part = b[[t is not None and is_russian(t) and len(_WORD.findall(t)) >= least_words for t in b["text"]]]
+            part = b[[t is not None and is_russian(t) and has_words(t, least_words) for t in b["text"]]]
             for s in range(0, len(part), 1000):
                 some = part.iloc[s : s + 1000]
                 yield pd.DataFrame({"id": some["id"], "reading_level": shared.value.levels([features(t) for t in some["text"]])})
