@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.dates import iso_date
 from spanforge.functions.latest import latest
-from spanforge.functions.lookalike import skeleton
+from spanforge.functions.lookalike import COMPOSED, PLAIN, TO_SKELETON, skeleton
 from spanforge.operators.history import entity_history
 from spanforge.session import table
 
@@ -48,3 +48,27 @@ def unit_versions(editions: DataFrame, norm_units: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return unit_versions(table(spark, d, "editions"), table(spark, d, "norm_units")).select("unit_key", "valid_from", "valid_to")
+
+
+def _sql_skeleton(x: str) -> str:
+    """``skeleton`` as SQL: characters of one shape translated, invisible ones dropped, accents composed."""
+    mapping = PLAIN | TO_SKELETON
+    kept, gone = [(a, b) for a, b in mapping.items() if b], [a for a, b in mapping.items() if not b]
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    out = f"translate({x}, {quoted(''.join(a for a, _ in kept) + ''.join(gone))}, {quoted(''.join(b for _, b in kept))})"
+    for pair, one in COMPOSED.items():
+        out = f"replace({out}, {quoted(pair)}, {quoted(one)})"
+    return out
+
+
+SQL = {
+    "p2_found": rf"""WITH nu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm_id ORDER BY loaded_at DESC) AS rn FROM norm_units) WHERE rn = 1),
+    ed AS (SELECT law_id, edition_id, arg_max(effective_from, downloaded_at) AS ef FROM editions GROUP BY law_id, edition_id),
+    es AS (SELECT law_id, edition_id, CASE WHEN regexp_matches(ef, '^\d{{4}}-\d\d-\d\d$') THEN ef WHEN regexp_matches(ef, '^\d\d\.\d\d\.\d{{4}}$') THEN ef[7:10] || '-' || ef[4:5] || '-' || ef[1:2] ELSE edition_id END AS start FROM ed),
+    sq AS (SELECT *, row_number() OVER w AS pos, lead(start) OVER w AS nx FROM es WINDOW w AS (PARTITION BY law_id ORDER BY start, edition_id)),
+    u AS (SELECT regexp_replace(norm_id, '^([^:]*):[^:]*', '\1') AS unit_key, pos, start, nx, {_sql_skeleton("title")} AS t, {_sql_skeleton("text")} AS x, is_repealed AS r
+          FROM nu JOIN sq ON sq.law_id = split_part(norm_id, ':', 1) AND sq.edition_id = nu.edition_id),
+    f AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(t) OVER w IS NOT DISTINCT FROM t AND lag(x) OVER w IS NOT DISTINCT FROM x AND lag(r) OVER w IS NOT DISTINCT FROM r THEN 0 ELSE 1 END AS fresh FROM u WINDOW w AS (PARTITION BY unit_key ORDER BY pos)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY unit_key ORDER BY pos) AS run FROM f)
+    SELECT unit_key, min(start) AS valid_from, CASE WHEN bool_or(nx IS NULL) THEN '9999-12-31' ELSE max(nx) END AS valid_to FROM g GROUP BY unit_key, run"""
+}
