@@ -176,4 +176,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": """SELECT norm_id, max_size AS max_chunk FROM (SELECT *, row_number() OVER (PARTITION BY norm_id ORDER BY loaded_at DESC) AS rn FROM norm_units)
+            JOIN (SELECT DISTINCT max_size FROM size_limits WHERE purpose = 'split') ON length(text) > max_size WHERE rn = 1 AND NOT coalesce(is_repealed, false)"""
+    }
