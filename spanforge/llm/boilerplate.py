@@ -1,125 +1,227 @@
 """The main body of web pages, by a site style tree.
 
-The blocks of all pages of a host are merged into a tree: a block is a path of its head (its label or first sentence),
-its tail (its last sentence) and the block as a whole, with numbers, quoted names and disguises masked.  Each node gathers
-the presentations (kinds) of its occurrences.  Templates of the frame are presented in any way, body text and
-headings in one way, so that the entropy of a node's presentation tells how noisy it is; frequent nodes of high and of
-low entropy give the presentation profiles of the frame and of the body, and a node's importance is the share of its
-occurrences that follow a profile of the body.  Blocks on a path through a node of low importance are removed.
+The pages of a host are merged into one tree.  Under the host stand the styles of blocks (marks of link lists, leading
+labels, sentence ends, length), under a style the heads and tails of blocks (label or first sentence, last sentence),
+under these the whole block, all with numbers, quoted names and disguises masked, and its content as it stands.  Two entropies tell how
+important a branch is:
+
+* of its content: a content spread evenly over the pages of its host has the full entropy log(pages) and says nothing about any
+  one of them, a content of one page has none;
+* of its presentation: the parts of the frame are labelled at random, those of the body by one rule.  What "at random" means
+  is read off the contents that the first entropy convicts; the profiles of the body are found by expectation
+  maximisation, one for each kind.  Where all blocks are labelled alike, the profiles agree and content alone decides.
+
+Every node inherits the importance of its parent and moves away from it as its own occurrences tell, so that nodes seen
+once are judged too, by their style, their content and their own label.  Branches of low importance are removed.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.functions.lookalike import caseless_skeleton
+from spanforge.functions.lookalike import COMPOSED, PLAIN, TO_SKELETON
 from spanforge.operators.joins import lookup
 from spanforge.session import cut
 
 KINDS = ("chapter_title", "article_title", "body", "other", "")
-#: Occurrences from which a node is judged, on its host and over all hosts.
-LEAST_ON_HOST, LEAST = 60, 5
-#: Occurrences from which a block as a whole is judged without its parts.
-LEAST_WHOLE = 20
-#: Importance under which a node is noise, and over which it is body.
-NOISE, SAFE = 0.3, 0.7
-_SEPARATORS = r"\s*[|·›»¦•→←]+\s+|\s+[|·›¦•→←]\s*|\s+/\s+|\n+| {2,}|\x{3000}{2,}"
-
-
-def paths(blocks: DataFrame, text: str) -> DataFrame:
-    """``blocks`` with the masked nodes ``head``, ``tail`` and ``whole``; null and empty texts have empty nodes."""
-    folded = F.regexp_replace(caseless_skeleton(F.coalesce(F.col(text), F.lit(""))), r"\x{301}", "")
-    masked = F.regexp_replace(F.regexp_replace(F.trim(F.translate(folded, "[]", "")), "«[^»]*»+", "@"), r"\d+", "0")
-    # Prose has no separator: the split is spared there.
-    parts = F.when(masked.rlike(r"[|·›»¦•→←/\n]|  "), F.filter(F.split(masked, _SEPARATORS), lambda s: F.trim(s) != "")).otherwise(F.filter(F.array(masked), lambda s: s != ""))
-    first, last = F.trim(F.coalesce(F.get(parts, F.lit(0)), F.lit(""))), F.trim(F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit("")))
-    # The leading marks of quotations, lists and dialogue are no part of a node.
-    first = F.regexp_replace(first, r"^[\s—–>*-]+", "")
-    label = F.regexp_extract(first, r"^([^.:!?]{1,60}[:.!?])(?:\s|$)", 1)
-    sentence = F.regexp_extract(first, r"^(.*?[.!?:;])(?:\s|$)", 1)
-    head = F.when(label != "", label).when(sentence != "", sentence).otherwise(first)
-    tail = F.trim(F.try_element_at(F.split(last, r"(?<=[.!?])\s+"), F.lit(-1)))
-    # A block of one sentence has no tail.
-    tail = F.when((F.size(parts) > 1) | (F.length(tail) < F.length(last)), F.regexp_replace(tail, "[.!?]+$", "")).otherwise("")
-    return blocks.select("*", head.alias("_head"), tail.alias("_tail"), F.array_join(parts, "|").alias("_whole"))
-
-
-def _profiles(nodes: DataFrame) -> np.ndarray:
-    """Presentation profiles: of the frame first, then of each kind of body node.  One row for each kind leaves the cluster."""
-    total = sum((F.col(f"k{i}") for i in range(len(KINDS))), F.lit(0))
-    share = [F.col(f"k{i}") / F.col("n") for i in range(len(KINDS))]
-    entropy = -sum((F.when(s > 0, s * F.log(s)).otherwise(0.0) for s in share), F.lit(0.0)) / math.log(len(KINDS))
-    leading = F.array_position(F.array(*(F.col(f"k{i}") for i in range(len(KINDS)))), F.greatest(*(F.col(f"k{i}") for i in range(len(KINDS)))))
-    group = F.when(entropy > 0.6, F.lit(0)).when((entropy < 0.4) & (leading <= 3), leading)
-    frequent = nodes.withColumn("n", total).filter("n >= 20").withColumn("group", group).filter("group is not null")
-    rows = {r["group"]: [r[f"k{i}"] for i in range(len(KINDS))] for r in frequent.groupBy("group").agg(*(F.sum(f"k{i}").alias(f"k{i}") for i in range(len(KINDS)))).collect()}
-    # Without frequent nodes of a sort: presentations at random for the frame, mostly its own for a kind of body.
-    default = [[0.1, 0.02, 0.33, 0.45, 0.1], [0.9, 0.01, 0.03, 0.03, 0.03], [0.01, 0.9, 0.03, 0.03, 0.03], [0.01, 0.01, 0.92, 0.04, 0.02]]
-    out = []
-    for g in range(4):
-        counts = np.array(rows.get(g, [0] * len(KINDS)), dtype=float)
-        out.append((counts + np.array(default[g]) * 10) / (counts.sum() + 10 * sum(default[g])))
-    return np.array(out)
-
-
-def importance(counts: np.ndarray, profiles: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """The share of each node's occurrences that follow a profile of the body, by expectation maximisation."""
-    weight = np.full((len(counts), len(profiles)), 1 / len(profiles))
-    n = np.maximum(counts.sum(axis=1, keepdims=True), 1)
+#: Weight of a parent against the occurrences of its child: of a style, and of the same node over all hosts.
+STYLE_WEIGHT, HOST_WEIGHT = 2.0, 10.0
+#: Log odds that a content on a single page of its host adds, and one on all pages.
+SINGLE_ODDS, REPEATED_ODDS = -2.0, 2.0
+#: Share of the full entropy from which a content tells how the frame is presented.
+REPEATED = 0.75
+STYLES = 24
+
+_DISGUISED = re.compile("[^\n -@\\[-`{-~А-ЯЁа-яё№«»—–…©·›→←²³]")
+_FOLD = str.maketrans(PLAIN | TO_SKELETON | {chr(0x301): "", "[": "", "]": ""})
+_ACCENT = re.compile(f"[{chr(0x306)}{chr(0x308)}]")
+_QUOTED, _NUMBER = re.compile("«[^»]*»+"), re.compile(r"\d+")
+_SEPARATED = re.compile(r"[|·›»¦•→←/\n]|  ")
+_SEPARATOR = re.compile(r"\s*[|·›»¦•→←]+\s+|\s+[|·›¦•→←]\s*|\s+/\s+|\n+| {2,}")
+_LEADING = re.compile(r"^[\s—–>*-]+")
+_LABEL, _FIRST = re.compile(r"([^.:!?]{1,60}[:.!?])(?:\s|$)"), re.compile(r".*?[.!?:;](?=\s|$)")
+_LAST = re.compile(r"(?<=[.!?])\s+")
+_NODES = "style int, head long, tail long, whole long, content long"
+
+
+def nodes_of(text: str | None) -> tuple[int, str, str, str]:
+    """(style, head, tail, whole) of a block; an empty or null text has style -1 and empty nodes, a block of one sentence no tail."""
+    if not text:
+        return -1, "", "", ""
+    if _DISGUISED.search(text):
+        text = text.translate(_FOLD).upper().translate(_FOLD)
+        if _ACCENT.search(text):
+            for pair, one in COMPOSED.items():
+                text = text.replace(pair, one)
+    else:
+        text = text.replace("[", "").replace("]", "").upper()
+    masked = _NUMBER.sub("0", _QUOTED.sub("@", text) if "«" in text else text).strip()
+    parts = [p for p in map(str.strip, _SEPARATOR.split(masked)) if p] if _SEPARATED.search(masked) else [masked] if masked else []
+    if not parts:
+        return -1, "", "", ""
+    first, last = _LEADING.sub("", parts[0]), parts[-1]
+    label, sentence = _LABEL.match(first), _FIRST.match(first)
+    head = label[1] if label else sentence[0] if sentence else first
+    tail = _LAST.split(last)[-1]
+    tail = tail.rstrip(".!?") if len(parts) > 1 or len(tail) < len(last) else ""
+    words = masked.count(" ") + 1
+    style = (len(parts) > 1) * 12 + (label is not None and len(head) < len(first)) * 6 + (masked[-1] in ".!?…") * 3 + (words > 3) + (words > 14)
+    return style, head, tail, "|".join(parts)
+
+
+def _hash(role: str, text: str) -> int:
+    return xxhash.xxh3_64_intdigest(role + text) - (1 << 63)
+
+
+def described(blocks: DataFrame, key: str, page: str, kind: str, text: str) -> DataFrame:
+    """(key, page, kind, style, head, tail, whole, content): blocks as hashes of their nodes, where they lie; texts go no further."""
+    key_type, page_type = (blocks.schema[c].dataType.simpleString() for c in (key, page))
+    number = {k: i for i, k in enumerate(KINDS)}
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [nodes_of(t) for t in b["text"]]
+            yield pd.DataFrame({
+                "key": b["key"], "page": b["page"], "kind": [number.get(k, 4) for k in b["kind"]], "style": [s for s, *_ in found],
+                "head": [_hash("h", h) for _, h, _, _ in found], "tail": [_hash("t", t) if t else 0 for _, _, t, _ in found], "whole": [_hash("w", w) for *_, w in found], "content": [_hash("c", " ".join(t.split())) if t else 0 for t in b["text"]],
+            })
+
+    rows = blocks.select(F.col(key).alias("key"), F.col(page).alias("page"), F.col(kind).alias("kind"), F.col(text).alias("text"))
+    return rows.mapInPandas(describe, f"key {key_type}, page {page_type}, kind int, {_NODES}")
+
+
+def shares(counts: np.ndarray, profiles: np.ndarray, prior: np.ndarray, weight: float, rounds: int = 20) -> np.ndarray:
+    """The share of each node's occurrences that follow each profile, starting from its parent's shares."""
+    out = prior
+    total = counts.sum(axis=1, keepdims=True) + weight
     for _ in range(rounds):
-        joint = weight[:, :, None] * profiles[None]
-        weight = (counts[:, None, :] * joint / np.maximum(joint.sum(axis=1, keepdims=True), 1e-12)).sum(axis=2) / n
-    return 1 - weight[:, 0]
+        mixed = np.maximum(out @ profiles, 1e-12)
+        # (an over-relaxed step: shares that belong at nought get there sooner)
+        gain = ((counts / mixed) @ profiles.T + weight * prior / np.maximum(out, 1e-12)) / total
+        out = out * gain**1.8
+        out = out / out.sum(axis=1, keepdims=True)
+    return out
 
 
-def judged_blocks(blocks: DataFrame, host: str, kind: str, text: str) -> DataFrame:
-    """``blocks`` with ``importance`` (null where no node of the block is frequent enough) and ``is_frame``.
+def fit_profiles(repeated: np.ndarray, vectors: np.ndarray, times: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Presentation profiles, the frame's first, and how often nodes follow each.
 
-    A block that is frequent as a whole is judged as a whole.  Any other is frame if its head is a node of low importance,
-    or its tail is, unless the head is a more frequent node of high importance.  Nodes are counted on the host and over all hosts; the host decides where it has enough pages.  Counts are
-    aggregated before the shuffle, and a block that stands on a third of all pages is one node, judged once.  A
-    null host is a host of its own, a null or unknown kind a presentation of its own; empty blocks are frame.
+    ``repeated`` counts the kinds of the contents that their entropy convicts; ``vectors`` are mean kind counts of groups
+    of ``times`` nodes each.  The body has one profile for each kind, started from a node that shows hardly any other.
     """
-    known = F.when(F.col(kind).isin(*KINDS[:4]), F.col(kind)).otherwise("")
-    rows = paths(blocks, text).withColumn("_kind", known).withColumn("_host", F.coalesce(F.col(host), F.lit("")))
-    rows = rows.withColumns({"_h": F.xxhash64(F.lit("head"), "_head"), "_t": F.when(F.col("_tail") != "", F.xxhash64(F.lit("tail"), "_tail")).otherwise(F.xxhash64(F.lit("none"), "_whole")), "_w": F.xxhash64(F.lit("whole"), "_whole")})
-    rows = cut(rows)
-    # A missing tail has a key that matches nothing, spread like the blocks.
-    nodes = F.when(F.col("_tail") != "", F.array("_h", "_t", "_w")).otherwise(F.array("_h", "_w"))
-    distinct = rows.select("_host", "_kind", F.explode(nodes).alias("node"))
-    per_kind = [F.count_if(F.col("_kind") == k).alias(f"k{i}") for i, k in enumerate(KINDS)]
-    on_host = cut(distinct.groupBy("_host", "node").agg(*per_kind))
-    everywhere = on_host.groupBy("node").agg(*(F.sum(f"k{i}").alias(f"k{i}") for i in range(len(KINDS))), F.count("*").alias("hosts"))
-    everywhere = cut(everywhere)
-    profiles = _profiles(everywhere)
+    k = vectors.shape[1]
+    total = vectors.T @ times + 1.0
+    base = total / total.sum()
+    frame = (repeated + base) / (repeated.sum() + 1)
+    profiles = np.vstack([frame, *(0.85 * np.eye(k)[i] + 0.15 * base for i in range(k))])
+    mix = np.full(k + 1, 1 / (k + 1))
+    importance = times * np.minimum(vectors.sum(axis=1), 50)
+    for _ in range(rounds):
+        fit = np.log(mix)[None] + vectors @ np.log(np.maximum(profiles, 1e-9)).T
+        held = np.exp(fit - fit.max(axis=1, keepdims=True))
+        held = held / held.sum(axis=1, keepdims=True)
+        own = (held * times[:, None]).T @ vectors
+        own[0] += repeated
+        profiles = np.vstack([(own[j] + 5 * profiles[j]) / (own[j].sum() + 5) for j in range(k + 1)])
+        profiles[1:] = 0.97 * profiles[1:] + 0.03 * base
+        mix = (held * importance[:, None]).sum(axis=0) + 1
+        mix = mix / mix.sum()
+    return profiles, mix
+
+
+def judge(b: pd.DataFrame, profiles: np.ndarray, mix: np.ndarray, styles: np.ndarray) -> np.ndarray:
+    """The importance (0 frame, 1 body) of contents, from their own counts, those of their parents, and their pages."""
+    counts = lambda c: np.array([x if x is not None else np.zeros(len(KINDS)) for x in b[c]], dtype=float).reshape(len(b), len(KINDS))
+    own = counts("own")
+
+    def node(role: str, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # A content is no witness in its own case: its parents are judged by all others.
+        here, everywhere = (np.maximum(counts(f"{role}_{c}") - own, 0) for c in ("host", "all"))
+        return shares(here, profiles, shares(everywhere, profiles, parent, STYLE_WEIGHT), HOST_WEIGHT), everywhere.sum(axis=1)
+
+    style = styles[b["style"].to_numpy()]
+    head, n_head = node("h", style)
+    tail, n_tail = node("t", style)
+    # A noisy tail convicts unless the head is body and better known; a sound one clears prose whose head is less known.
+    noisy, sound = tail[:, 0] > 0.7, (tail[:, 0] < 0.3) & (b["style"].to_numpy() < 12)
+    by_tail = b["has_tail"].to_numpy() & (n_tail > 0) & (noisy & (head[:, 0] > 0.3) | (noisy | sound) & (n_tail > n_head))
+    above, known = np.where(by_tail[:, None], tail, head), np.where(by_tail, n_tail, n_head)
+    whole, n_whole = node("w", above)
+    # A whole that is nearly all its parent has would tell the same twice.
+    mixed = np.where((n_whole * 2 > known)[:, None], above, whole)
+    frame = np.clip(mixed[:, 0], 0.001, 0.999)
+    body = np.maximum(mixed[:, 1:], 1e-4)
+    body = np.log(body / body.sum(axis=1, keepdims=True))
+    logs = np.log(np.maximum(profiles, 1e-9))
+    fit = body + own @ logs[1:].T
+    top = fit.max(axis=1)
+    evidence = own @ logs[0] - (top + np.log(np.exp(fit - top[:, None]).sum(axis=1)))
+    # The better a branch is known as frame by its labels, and the more labels tell, the less the content has to say.
+    told = -math.log(min(1.0, float((np.sqrt(profiles[:1] * profiles[1:]).sum(axis=1) * mix[1:]).sum() / mix[1:].sum())))
+    seen, pages = b["seen"].to_numpy(dtype=float), b["pages"].to_numpy(dtype=float)
+    spread = np.where(pages > 1, np.log(np.minimum(seen, np.maximum(pages, 2))) / np.log(np.maximum(pages, 2)), 0.5)
+    odds = np.log(frame / (1 - frame)) + evidence + (SINGLE_ODDS + (REPEATED_ODDS - SINGLE_ODDS) * spread) / (1 + told * known * frame)
+    return 1 / (1 + np.exp(np.clip(odds, -50, 50)))
+
+
+def judged_blocks(blocks: DataFrame, key: str, page: str, kind: str, text: str, pages: DataFrame, host: str) -> DataFrame:
+    """(key, importance, is_frame) of every block; ``pages`` holds the host of each page, one row a page.
+
+    A repeated key counts once (its greatest row).  A null or unknown host is a host of its own, a null or unknown kind a kind
+    of its own; empty and null texts are frame.  Blocks leave their place as hashes only; equal contents of a host are one
+    row before they are shuffled further, and rows of hot hosts, heads and contents are met by broadcast.  No threshold
+    on occurrences keeps a block from being judged.
+    """
+    rows = described(blocks, key, page, kind, text)
+    best = rows.groupBy("key").agg(F.max(F.struct("page", "kind", "style", "head", "tail", "whole", "content")).alias("b")).select("key", "b.*")
+    hosts = pages.select(F.col(page).alias("page"), F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))).alias("host"))
+    rows = cut(best.join(hosts, "page", "left").withColumns({"host": F.coalesce("host", F.lit(0)), "page": F.xxhash64("page")}))
+    per_kind = [F.count_if(F.col("kind") == i).alias(f"k{i}") for i in range(len(KINDS))]
     columns = [f"k{i}" for i in range(len(KINDS))]
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums = [F.sum(c).alias(c) for c in columns]
+    vector = lambda name: F.array(*(F.col(c).cast("double") for c in columns)).alias(name)
+    contents = rows.filter("style >= 0").groupBy("host", "content").agg(
+        *(F.first(c).alias(c) for c in ("style", "head", "tail", "whole")), F.count("*").alias("n"), *per_kind, F.min("page").alias("low"), F.max("page").alias("high")
+    )
+    contents = cut(contents.withColumn("seen", F.when(F.col("low") == F.col("high"), 1).otherwise(F.col("n"))).drop("low", "high"))
+    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    weights = contents.groupBy("host").agg(F.count("*").alias("_n"))
+    contents = cut(lookup(contents, sizes.join(weights, "host"), ["host"], "_n"))
+    # Heads, tails and wholes, on their host and over all.
+    parents = F.explode(F.when(F.col("tail") != 0, F.array("head", "whole", "tail")).otherwise(F.array("head", "whole"))).alias("node")
+    on_host = cut(contents.select("host", *columns, parents).groupBy("host", "node").agg(*sums, F.count("*").alias("_n")))
+    everywhere = cut(on_host.groupBy("node").agg(*sums, F.count("*").alias("_n")))
+    # What comes to the driver is a histogram: a row for each style, and for each (leading kind, size class, purity class).
+    entropy = F.log(F.least("seen", "pages")) / F.log("pages")
+    repeated = contents.filter("pages > 1 and seen > 2").filter(entropy >= REPEATED).agg(*sums).first()
+    n, top = sum((F.col(c) for c in columns), F.lit(0)), F.greatest(*columns)
+    leading = F.array_position(F.array(*columns), top)
+    groups = everywhere.groupBy(leading.alias("g"), F.floor(F.log2(n)).alias("s"), F.floor(top / n * 20).alias("p")).agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("times")).toPandas()
+    per_style = contents.groupBy("style").agg(*sums).toPandas()
+    profiles, mix = fit_profiles(np.array([x or 0 for x in repeated], dtype=float), groups[columns].to_numpy(dtype=float), groups["times"].to_numpy(dtype=float))
+    styles = np.tile(mix, (STYLES, 1))
+    if len(per_style):
+        styles[per_style["style"].to_numpy()] = shares(per_style[columns].to_numpy(dtype=float), profiles, np.tile(mix, (len(per_style), 1)), STYLE_WEIGHT, 40)
+    # Each content with the counts of its parents: (host, node) first, which brings those over all hosts along.
+    both = lookup(on_host.select("host", "node", vector("host_counts"), F.col("_n").alias("_rows")), everywhere.join(on_host.groupBy("node").agg(F.count("*").alias("_h")), "node").select("node", vector("all_counts"), "_h"), ["node"], "_h")
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("node")) for r, c in (("h", "head"), ("t", "tail"), ("w", "whole"))))
+    asked = contents.select("host", "content", F.explode(roles).alias("a")).select("host", "content", "a.*").filter("node <> 0")
+    met = lookup(asked, both, ["host", "node"], "_rows").groupBy("host", "content").agg(*(F.max(F.when(F.col("role") == r, F.col(f"{c}_counts"))).alias(f"{r}_{c}") for r in "htw" for c in ("host", "all")))
+    facts = contents.select("host", "content", "style", (F.col("tail") != 0).alias("has_tail"), "n", vector("own"), "seen", "pages").join(met, ["host", "content"])
+
+    def judge_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_host": b["_host"], "node": b["node"], "value": importance(b[columns].to_numpy(dtype=float), profiles), "n": b[columns].sum(axis=1)})
-
-    total = sum((F.col(c) for c in columns), F.lit(0))
-    hosts = on_host.filter(total >= LEAST_ON_HOST)
-    common = everywhere.filter(total >= LEAST).withColumn("_host", F.lit(None).cast("string"))
-    values = cut(hosts.select("_host", "node", *columns).unionByName(common.select("_host", "node", *columns)).mapInPandas(judge, "_host string, node long, value double, n long"))
-    local, general = values.filter("_host is not null"), values.filter("_host is null").drop("_host")
-    general = general.select("node", F.struct("n", "value").alias("general"))
-    local = local.select("_host", "node", F.struct(F.lit(None).cast("long").alias("n"), "value").alias("local"))
-    placed = on_host.select("_host", "node", total.alias("_rows"))
-    valued = placed.join(general, "node").join(local, ["_host", "node"], "left")
-    # How frequent a node is counts over all hosts; how important it is, on the host where that has enough.
-    valued = cut(valued.select("_host", "node", "_rows", F.struct(F.col("general.n").alias("n"), F.coalesce("local.value", "general.value").alias("value")).alias("v")))
-    for role in ("h", "t", "w"):
-        rows = lookup(rows, valued.select("_host", F.col("node").alias(f"_{role}"), F.col("v").alias(f"_v{role}"), "_rows"), ["_host", f"_{role}"], "_rows", "left")
-    noise, safe = (lambda v: F.coalesce(F.col(v)["value"] < NOISE, F.lit(False))), (lambda v: F.coalesce(F.col(v)["value"] > SAFE, F.lit(False)))
-    whole = (noise("_vw") | safe("_vw")) & (F.col("_vw.n") >= LEAST_WHOLE)
-    by_tail = noise("_vt") & (~safe("_vh") | (F.col("_vt.n") > F.col("_vh.n")))
-    frame = (F.col("_whole") == "") | F.when(whole, noise("_vw")).otherwise(noise("_vh") | by_tail)
-    value = F.when(whole, F.col("_vw.value")).when(noise("_vh"), F.col("_vh.value")).when(by_tail, F.col("_vt.value")).otherwise(F.coalesce("_vh.value", "_vt.value"))
-    return rows.select(*(c for c in blocks.columns if c not in ("importance", "is_frame")), value.alias("importance"), frame.alias("is_frame"))
+            yield pd.DataFrame({"host": b["host"], "content": b["content"], "importance": judge(b, profiles, mix, styles), "n": b["n"]})
+
+    values = cut(facts.mapInPandas(judge_all, "host long, content long, importance double, n long"))
+    found = lookup(rows.filter("style >= 0").select("key", "host", "content"), values, ["host", "content"], "n").select("key", "importance")
+    empty = rows.filter("style < 0").select("key", F.lit(0.0).alias("importance"))
+    return found.unionByName(empty).select(F.col("key").alias(key), "importance", (F.col("importance") < 0.5).alias("is_frame"))

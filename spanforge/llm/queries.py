@@ -54,9 +54,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p4_judged(spark: SparkSession, d: str) -> DataFrame:
-    blocks = latest(table(spark, d, "blocks"), ["block_id"], None, ["page_id", "block_order", "kind", "text"])
     pages = latest(table(spark, d, "pages"), ["page_id"], "fetched_at", ["site"])
-    return boilerplate.judged_blocks(blocks.join(pages, "page_id", "left"), "site", "kind", "text")
+    return boilerplate.judged_blocks(table(spark, d, "blocks"), "block_id", "page_id", "kind", "text", pages, "site")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +64,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_main(spark: SparkSession, d: str) -> DataFrame:
     """The blocks of the main body of each page with their place in it."""
+    blocks = latest(table(spark, d, "blocks"), ["block_id"], None, ["page_id", "block_order", "text"])
     w = Window.partitionBy("page_id").orderBy("block_order", "block_id")
-    return _p4_judged(spark, d).filter("not is_frame").select("page_id", F.row_number().over(w).alias("place"), "block_id", "text")
+    main = blocks.join(_p4_judged(spark, d).filter("not is_frame").select("block_id"), "block_id")
+    return main.select("page_id", F.row_number().over(w).alias("place"), "block_id", "text")
 
 
 def _p5_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

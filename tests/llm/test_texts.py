@@ -98,24 +98,42 @@ def test_redaction_changes_nothing_else(spark):
     assert personal.personal_data(df, "text").count() == 5 and personal.personal_data(df.limit(0), "text").count() == 0
 
 
-def pages(n=60):
+def pages(n=60, kind=lambda k: k):
     rng, rows = random.Random(3), []
     kinds_ = ["chapter_title", "body", "body", "body", "other", "other", "other", None]
     for p in range(n):
-        frame = ["Главная  Новости  Поиск", f"Читайте также: Статья про {p}", f"© {2000 + p % 9} «Фирма{p}». Все права защищены."]
-        body = [f"Обзор номер {p}", f"Первый абзац {rng.random()} о деле. Он длинный.", "Решила: признать жалобу обоснованной."]
+        frame = ["Главная  Новости  Поиск", f"Читайте также: Статья про {p}", "© «Фирма». Все права защищены."]
+        body = [f"Обзор номер {p}", f"Первый абзац {rng.random()} о деле. Он длинный.", "Решила: признать жалобу обоснованной, дело " + rng.choice("абвгдежз") * 9 + "."]
         for k, (t, main) in enumerate([(frame[0], 0), (body[0], 1), (body[1], 1), (frame[1], 0), (body[2], 1), (frame[2], 0)]):
-            kind = rng.choice(kinds_) if not main else "chapter_title" if k == 1 else "body"
-            rows.append((f"{p}-{k}", f"site{p % 2}", kind, t, main, 0.0))
+            own = rng.choice(kinds_) if not main else "chapter_title" if k == 1 else "body"
+            rows.append((f"{p:02d}-{k}", p, kind(own), t, main, 0.0))
     return rows
 
 
+def judged(spark, rows):
+    df = spark.createDataFrame(rows, "block_id string, page_id int, kind string, text string, main int, importance double")
+    sites = spark.createDataFrame([(p, f"site{p % 2}", "x") for p in range(60)], "page_id int, site string, kind string")
+    return {r["block_id"]: r for r in boilerplate.judged_blocks(df, "block_id", "page_id", "kind", "text", sites, "site").collect()}, df, sites
+
+
 def test_frame_of_pages(spark):
-    rows = pages() + [("n", None, None, None, 0, 0.0), ("e", "s", "body", "", 0, 0.0)]
-    df = spark.createDataFrame(rows, "block_id string, site string, kind string, text string, main int, importance double")
-    got = boilerplate.judged_blocks(df, "site", "kind", "text").collect()
-    assert len(got) == len(rows) and all(r["is_frame"] == (r["main"] == 0) for r in got)
-    assert boilerplate.judged_blocks(df.limit(0), "site", "kind", "text").count() == 0
+    rows = pages() + [("n", None, None, None, 0, 0.0), ("e", 1, "body", "", 0, 0.0), ("e", 1, "body", "", 0, 0.0), ("x", 99, "body", "Второй абзац о деле. Он короткий.", 1, 0.0)]
+    got, df, sites = judged(spark, rows)
+    assert len(got) == len(rows) - 1 and all(got[r[0]]["is_frame"] == (r[4] == 0) for r in rows)
+    assert boilerplate.judged_blocks(df.limit(0), "block_id", "page_id", "kind", "text", sites, "site").count() == 0
+
+
+def test_frame_without_kinds_and_in_a_block_seen_once(spark):
+    for kind in (None, "body"):
+        rows = pages(kind=lambda k, kind=kind: kind)
+        got, _, _ = judged(spark, rows)
+        # What stands on all pages of a host goes, what stands on one stays, headings too.
+        assert all(got[r[0]]["is_frame"] for r in rows if r[3].startswith(("Главная", "©")))
+        assert not any(got[r[0]]["is_frame"] for r in rows if r[4] == 1)
+    # A block seen once is judged by its style and its own label; frame and body in the styles that the others taught.
+    once = [("o1", 1, "other", "Смотрите тоже: Новый разбор 5", 0, 0.0), ("o2", 1, "body", "Суд отложил дело. Стороны мирились. Срок вышел в мае.", 1, 0.0)]
+    got, _, _ = judged(spark, pages() + once)
+    assert got["o1"]["is_frame"] and not got["o2"]["is_frame"]
 
 
 def test_containers(spark):
