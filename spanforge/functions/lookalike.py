@@ -47,8 +47,11 @@ COMPOSED = {a + BREVE: chr(c) for a, c in (("и", 0x439), ("И", 0x419), ("у",
     a + DIAERESIS: chr(c) for a, c in (("е", 0x451), ("Е", 0x401), ("і", 0x457), ("І", 0x407))
 }
 
+# One pass does both steps, so that a full-width letter ends as the letter of its shape.
+SKELETON = {a: TO_SKELETON.get(b, b) for a, b in PLAIN.items()} | TO_SKELETON
+
 _PLAIN_TABLE = str.maketrans(PLAIN)
-_SKELETON_TABLE = str.maketrans(PLAIN | TO_SKELETON)
+_SKELETON_TABLE = str.maketrans(SKELETON)
 _NOT_PLAIN = re.compile("[" + re.escape("".join(PLAIN)) + "]")
 _MARKED = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]")
 
@@ -74,7 +77,7 @@ def plain(column: Column) -> Column:
 
 def skeleton(column: Column) -> Column:
     """Equal for texts that look the same (letter case matters).  Null stays null."""
-    return _compose(_translate(column, PLAIN | TO_SKELETON))
+    return _compose(_translate(column, SKELETON))
 
 
 def caseless_skeleton(column: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.dates import iso_date
 from spanforge.functions.latest import latest
-from spanforge.functions.lookalike import COMPOSED, PLAIN, TO_SKELETON, skeleton
+from spanforge.functions.lookalike import COMPOSED, SKELETON, skeleton
 from spanforge.operators.history import entity_history
 from spanforge.session import table
 
@@ -52,8 +52,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _sql_skeleton(x: str) -> str:
     """``skeleton`` as SQL: characters of one shape translated, invisible ones dropped, accents composed."""
-    mapping = PLAIN | TO_SKELETON
-    kept, gone = [(a, b) for a, b in mapping.items() if b], [a for a, b in mapping.items() if not b]
+    kept, gone = [(a, b) for a, b in SKELETON.items() if b], [a for a, b in SKELETON.items() if not b]
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     out = f"translate({x}, {quoted(''.join(a for a, _ in kept) + ''.join(gone))}, {quoted(''.join(b for _, b in kept))})"
     for pair, one in COMPOSED.items():

@@ -1,5 +1,6 @@
 import itertools
 
+from spanforge.functions import lookalike
 from spanforge.operators.history import entity_history
 
 
@@ -57,3 +58,8 @@ def test_units_of_laws(spark):
         ("L:art.1", "2020-02-01", "2022-03-01"), ("L:art.1", "2022-03-01", "9999-12-31"),
         ("L:art.2", "2020-02-01", "2021-01-01"), ("L:art.2", "2022-03-01", "9999-12-31"),
     }
+
+
+def test_full_width_letters_have_the_shape_of_their_twins():
+    wide, plain = "заявл" + chr(0xFF45) + "нию", "заявлению"
+    assert lookalike.skeleton_text(wide) == lookalike.skeleton_text(plain) == plain
