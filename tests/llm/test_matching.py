@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 
 from spanforge.llm import cross_split, grouped_splits, leaks, reading_level
 from spanforge.llm.words import fold, reach, within, words
@@ -154,7 +155,7 @@ def test_joined_line_breaks_count_as_one_word(spark):
 
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(3)
-    index = leaks.index_items([(0, " ".join(f"w{i}" for i in range(300)))])
+    index = leaks.index_items([(0, " ".join(f"w{i}" for i in range(300)))]).windows[6]
     some = index.prints[rng.integers(0, len(index.prints), 200)].copy()
     for n in range(200):
         for bit in rng.choice(64, rng.integers(0, leaks.RADIUS + 1), replace=False):
@@ -165,6 +166,32 @@ def test_all_fingerprints_within_the_radius_are_found():
     assert got == brute and {a for a, _ in brute} == set(range(200))
 
 
+def test_items_of_every_length_are_found_with_an_edit_at_every_place():
+    rng = random.Random(1)
+    for n in [*range(1, 24), 29, 30, 39, 40, 60]:
+        item, docs = [f"i{n}x{k}" for k in range(n)], []
+        for how in ("change", "add", "drop"):
+            for place in range(n):
+                t = list(item)
+                edited = [place, *rng.sample([q for q in range(n) if q != place], n // 10 - 1)] if n >= 10 else []
+                for q in sorted(edited, reverse=True):
+                    t[q : q + (how != "add")] = [] if how == "drop" else ["чужое"]
+                docs.append(" ".join(["до"] * 9 + t + ["после"] * 9))
+        got = leaks._leaks_of(pd.DataFrame({"id": range(len(docs)), "text": docs}), leaks.index_items([(n, " ".join(item))]), {}, 20, 0.1)
+        assert {g[0] for g in got} == set(range(len(docs)))
+        many = leaks._leaks_of(pd.DataFrame({"id": [0], "text": " ".join(w if k % 5 else "иное" for k, w in enumerate(item))}), leaks.index_items([(n, " ".join(item))]), {}, 20, 0.1)
+        assert not many
+
+
+def test_weighted_shingles_reject_common_turns_of_phrase():
+    turn = [f"общее{k}" for k in range(8)]
+    items = [(i, " ".join([*turn, *(f"своё{i}x{k}" for k in range(60))])) for i in range(40)]
+    index = leaks.index_items(items)
+    doc = index.tokens[3][:8] + [1] * 60
+    assert not leaks.plausible(index.tokens[3], index.weights[3], doc, 0, 0, 20, 0.1)
+    assert leaks.plausible(index.tokens[3], index.weights[3], index.tokens[3][:20], 0, 0, 20, 0.1)
+
+
 EASY, HARD = "Мы шли домой. Был снег. Он был рад. ", "Предусмотренное законодательством обеспечение исполнения контрактных обязательств предполагает предварительное согласование эксплуатационных параметров, включая показатели, определяемые дифференцированно. "
 
 
