@@ -108,8 +108,7 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per split and topic: cases, those that stand in the other split too, and their pairs."""
     records = _p3_records(spark, d)
     members, linked, _ = cross_split.overlap_report(records, "case_id", "split", "complaint_argument_raw")
-    ends = cross_split.member_pairs(members, linked).select(F.explode(F.array("key_1", "key_2")).alias("case_id"))
-    pairs = ends.groupBy("case_id").agg(F.count("*").alias("pairs"))
+    pairs = cross_split.partner_counts(members, linked).filter("partners > 0").select(F.col("key").alias("case_id"), F.col("partners").alias("pairs"))
     joined = records.select("case_id", "split", F.coalesce("topic", F.lit("")).alias("topic")).join(pairs, "case_id", "left")
     return joined.groupBy("split", "topic").agg(F.count("*").alias("cases"), F.count("pairs").alias("overlapping_cases"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 

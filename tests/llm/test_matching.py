@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -68,10 +69,33 @@ def test_cross_split_pairs_against_brute_force(spark):
             want.add((a, b))
     assert got == want and len(want) > 20
     assert counted.count() == sum(bool(t.strip()) for _, _, t, _ in rows[:-4]) + 1
+    partners = {r["key"]: r["partners"] for r in cross_split.partner_counts(members, linked).collect()}
+    assert {k: n for k, n in partners.items() if n} == dict(Counter(k for pair in want for k in pair))
     empty = cross_split.overlap_report(df.limit(0), "id", "split", "t")
     assert cross_split.member_pairs(*empty[:2]).count() == 0
 
 
+def test_a_template_in_many_records_and_maximum_weights(spark, monkeypatch):
+    monkeypatch.setattr(cross_split, "LIST_PART", 7)
+    rng = random.Random(5)
+    template = [f"шаблон{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        t = list(template)
+        for p in rng.sample(range(30), rng.choice([1, 2, 4, 9])):
+            t[p] = f"w{rng.randrange(9)}"
+        rows.append((i, rng.choice(["a", "b", "c"]), " ".join(t)))
+    df = spark.createDataFrame(rows, "id int, split string, t string")
+    members, linked, _ = cross_split.overlap_report(df, "id", "split", "t")
+    got = {(r["key_1"], r["key_2"]) for r in cross_split.member_pairs(members, linked).collect()}
+    want = {(a, b) for (a, sa, ta), (b, sb, tb) in itertools.combinations(rows, 2) if sa != sb and within(ta.split(), tb.split(), 6) is not None}
+    assert got == want and len(want) > 500
+    # A record whose lists no other split has cannot reach its bound and enters none.
+    alone = spark.createDataFrame([(1, "a", "один два три четыре пять шесть"), (2, "b", "семь восемь девять десять")], "id int, split string, t string")
+    _, classes = cross_split.text_classes(alone, "id", "split", "t")
+    assert cross_split._postings(classes, 0.2).count() == 0
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(2)
     nodes = [f"n{i:03d}" for i in range(300)]
