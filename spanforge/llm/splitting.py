@@ -9,6 +9,7 @@ kind, the next finer kind serves (line, sentence, clause, word), and a cut insid
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,20 +40,19 @@ def _valleys(text: str) -> tuple[list[int], list[float]]:
     for e in ends:
         while i < len(starts) and starts[i] < e:
             i += 1
-        left, right = Counter(words[max(0, i - BLOCK_WORDS) : i]), Counter(words[i : i + BLOCK_WORDS])
-        norm = sum(v * v for v in left.values()) * sum(v * v for v in right.values())
-        cohesion.append(sum(v * right[w] for w, v in left.items() if w in right) / norm**0.5 if norm else 0.0)
-    depths = []
-    for k, c in enumerate(cohesion):
-        up, j = c, k
-        while j > 0 and cohesion[j - 1] >= up:
-            j -= 1
-            up = cohesion[j]
-        down, j = c, k
-        while j + 1 < len(cohesion) and cohesion[j + 1] >= down:
-            j += 1
-            down = cohesion[j]
-        depths.append((up - c) + (down - c))
+        before, after = Counter(words[max(0, i - BLOCK_WORDS) : i]), Counter(words[i : i + BLOCK_WORDS])
+        norm = sum(v * v for v in before.values()) * sum(v * v for v in after.values())
+        cohesion.append(sum(v * after[w] for w, v in before.items() if w in after) / norm**0.5 if norm else 0.0)
+    # The peak next to a boundary is where the cohesion stops rising, so a boundary hands its peak on to its neighbour.
+    left = list(cohesion)
+    for k in range(1, len(left)):
+        if cohesion[k - 1] >= cohesion[k]:
+            left[k] = left[k - 1]
+    right = list(cohesion)
+    for k in range(len(right) - 2, -1, -1):
+        if cohesion[k + 1] >= cohesion[k]:
+            right[k] = right[k + 1]
+    depths = [a + b - 2 * c for a, b, c in zip(left, right, cohesion)]
     return ends, depths
 
 
@@ -75,9 +75,9 @@ def cuts(text: str, limit: int, overlap: int, valleys: tuple[list[int], list[flo
     while len(text) - start > limit:
         low = start + max(overlap, int(limit * LEAST_FILL))
         high = start + limit
-        window = [(depths[k], ends[k]) for k in range(len(ends)) if low < ends[k] <= high]
+        window = range(bisect_right(ends, low), bisect_right(ends, high))
         if window:
-            end = max(window)[1]
+            end = ends[max(window, key=lambda k: (depths[k], ends[k]))]
         else:
             end = _last_end(_CLAUSE, text, low, high) or _last_end(_SPACE, text, low, high) or high
             if end == high and start + overlap + 1 < high:

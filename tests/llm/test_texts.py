@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +55,33 @@ def test_pieces_end_at_the_topic_change():
     assert splitting.cuts(text, 100, 0)[0] == (0, len(a))
 
 
+def test_valleys_by_walking_outwards_and_in_linear_time():
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["Кошки пьют молоко.", "Трактор пашет поле.", "Поле и кошки.", "Снег."]) for _ in range(300))
+    ends, depths = splitting._valleys(text)
+    for k in rng.sample(range(len(ends)), 60):
+        words, starts = [m[0].lower()[:6] for m in splitting._WORD.finditer(text)], [m.start() for m in splitting._WORD.finditer(text)]
+
+        def cohesion(at):
+            i = sum(s < ends[at] for s in starts)
+            a, b = Counter(words[max(0, i - 40) : i]), Counter(words[i : i + 40])
+            norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+            return sum(v * b[w] for w, v in a.items()) / norm if norm else 0.0
+
+        depth = 0.0
+        for step in (-1, 1):
+            here, at = cohesion(k), k
+            while 0 <= at + step < len(ends) and cohesion(at + step) >= here:
+                at += step
+                here = cohesion(at)
+            depth += here - cohesion(k)
+        assert abs(depth - depths[k]) < 1e-9
+    table = "Строка таблицы номер один. " * 40_000
+    began = time.time()
+    assert len(splitting.cuts(table, 700, 100)) > 1000
+    assert time.time() - began < 20
+
+
 def test_split_rows(spark):
     rows = [("a", "слово " * 50, 7, 1), ("b", None, 0, 1), ("c", "", 0, 1), ("d", "коротко", 0, 1), ("e", "ы" * 90, None, 1), ("e", "ы" * 90, None, 1)]
     df = spark.createDataFrame(rows, "id string, t string, at int, piece int")
