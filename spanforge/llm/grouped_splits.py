@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.lookalike import caseless_skeleton
 from spanforge.operators.joins import lookup
-from spanforge.session import cut
+from spanforge.session import cut, shared_folder
 
 # Ways of writing "unknown", as letters and digits only.
 UNKNOWN = ("", "нет", "нетгруппы", "нетданных", "unknown", "na", "nan", "none", "null", "неуказано", "неуказан", "неизвестно", "неопределено", "отсутствует", "бн", "без номера", "безномера", "н д", "нд", "x", "xxx")
@@ -58,71 +61,98 @@ def components(links: DataFrame, node: str, key: str, most_rounds: int = 60) ->
     return nodes.join(edges, "u", "left").select(F.col("u").alias(node), F.coalesce("v", "u").alias("root"))
 
 
-def _stratify(groups: list[tuple], left: list[float], wanted: list[dict]) -> list[int]:
-    """A split for each (size, {label: count}) group, most pressing label first; ``left`` and ``wanted`` shrink.
+def stratify(types: Iterable[tuple], left: list[float], wanted: dict) -> Iterator[list[int]]:
+    """How many of each type's components go to each split; a type is (count of components, size, {label: count}, leading label).
 
-    The label with the fewest outstanding records goes first, its largest groups before the small ones; each goes to
-    the split that wants most of that label, ties to the one with most room, then to the first.
+    Types come rarest leading label first, a label's largest components before its small ones.  The components of a type
+    are alike, so that all but a few are dealt at once, in proportion to what the splits still want of the leading label;
+    each of the others goes to the split that wants most of it, ties to the one with most room, then to the first.
+    ``left`` (records) and ``wanted`` ({label: [records of each split]}) shrink.  What is held grows with the labels only.
     """
-    total: dict = {}
-    holders: dict = {}
-    for g, (_, labels) in enumerate(groups):
-        for label, n in labels.items():
-            total[label] = total.get(label, 0) + n
-            holders.setdefault(label, []).append(g)
-    chosen = [-1] * len(groups)
-    while open_ := {label: n for label, n in total.items() if n > 0}:
-        label = min(open_, key=lambda x: (open_[x], str(x)))
-        for g in sorted((g for g in holders[label] if chosen[g] < 0), key=lambda g: (-groups[g][1][label], -groups[g][0], g)):
-            size, labels = groups[g]
-            k = max(range(len(left)), key=lambda s: (wanted[s].get(label, 0.0), left[s], -s))
-            chosen[g] = k
-            left[k] -= size
-            for x, n in labels.items():
-                wanted[k][x] = wanted[k].get(x, 0.0) - n
-                total[x] -= n
-        total[label] = 0
-    for g, (size, _) in enumerate(groups):
-        if chosen[g] < 0:
-            k = max(range(len(left)), key=lambda s: (left[s], -s))
-            chosen[g], left[k] = k, left[k] - size
-    return chosen
-
-
-def grouped_splits(members: DataFrame, node: str, root: str, label: str, proportions: dict[str, float], bucket_groups: int = 2000) -> DataFrame:
+    k = len(left)
+    for many, size, labels, leading in types:
+        open_ = [max(0.0, x) for x in wanted[leading]]
+        total = sum(open_)
+        quota = [0] * k
+        if many > k and total > 0:
+            quota = [min(int(many * x / total), int(x / labels[leading])) for x in open_]
+
+        def take(s: int, n: int) -> None:
+            left[s] -= n * size
+            for x, c in labels.items():
+                wanted[x][s] -= n * c
+
+        for s in range(k):
+            take(s, quota[s])
+        for _ in range(min(many - sum(quota), 4 * k)):
+            s = max(range(k), key=lambda s: (wanted[leading][s], left[s], -s))
+            quota[s] += 1
+            take(s, 1)
+        if rest := many - sum(quota):
+            # Nothing is wanted any more: the rest goes where there is room.
+            room = [max(0.0, x) for x in left]
+            share = [x / sum(room) if sum(room) else 1 / k for x in room]
+            more = [int(rest * x) for x in share]
+            more[max(range(k), key=lambda s: share[s])] += rest - sum(more)
+            for s in range(k):
+                quota[s] += more[s]
+                take(s, more[s])
+        yield quota
+
+
+def grouped_splits(members: DataFrame, node: str, root: str, label: str, proportions: dict[str, float], block: int = 50_000) -> DataFrame:
     """(node, root, split): whole components in splits with about the given proportions of records and of each label.
 
-    Components are first aggregated to label vectors.  The few that hold more than a thousandth of all records (at
-    most a thousand by that definition) are placed together, so that the others can make up for them; these are
-    dealt to buckets of about ``bucket_groups`` and stratified there, each bucket with its share of what the splits still
-    want.  A null label is a label of its own; no rows give no splits; repeated nodes count once.
+    Grouped iterative stratification: components are aggregated to label vectors, and components with equal vectors, which
+    are interchangeable, to types.  The types are placed in one sequence at any size of the data: the type whose
+    rarest label is the rarest of all comes first, the largest components of a label before its small ones.  The driver
+    streams over the types, holds what each split still wants of each label and hands on ``block`` decisions at a time, so that it
+    holds neither components nor types; which components of a type go where is found by their order, in parallel.
+
+    A null label is a label of its own; no rows give no splits; repeated nodes count once.
     """
-    names = list(proportions)
+    spark, names = members.sparkSession, list(proportions)
     share = [proportions[n] / sum(proportions.values()) for n in names]
     rows = members.select(F.col(node).alias("node"), F.col(root).alias("root"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).dropDuplicates(["node"])
-    counted = rows.groupBy("root", "label").agg(F.count("*").alias("n"))
-    vectors = cut(counted.groupBy("root").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels")))
-    all_rows, groups = vectors.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    buckets = max(1, -(-groups // bucket_groups))
-    big = F.col("size") * 1000 > F.lit(all_rows) if buckets > 1 else F.lit(True)
-    head = [(r["root"], r["size"], dict(r["labels"])) for r in vectors.filter(big).orderBy(F.desc("size"), "root").collect()]
-    totals = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.sum("n").alias("n")).collect()} if buckets > 1 else {x: sum(g[2].get(x, 0) for g in head) for x in {x for g in head for x in g[2]}}
-    left = [all_rows * s for s in share]
-    wanted = [{x: n * s for x, n in totals.items()} for s in share]
-    placed = _stratify([g[1:] for g in head], left, wanted)
-    spark = members.sparkSession
-    root_type = members.schema[root].dataType.simpleString()
-    first = spark.createDataFrame([(g[0], names[k]) for g, k in zip(head, placed)], f"root {root_type}, split string")
-    if buckets == 1:
-        return rows.select("node", "root").join(first, "root").select(F.col("node").alias(node), F.col("root").alias(root), "split")
-    part_left, part_wanted = [x / buckets for x in left], [{x: n / buckets for x, n in w.items()} for w in wanted]
-
-    def one(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("root")
-        groups = [(int(s), {a: int(n) for a, n in (x.items() if isinstance(x, dict) else x)}) for s, x in zip(bucket["size"], bucket["labels"])]
-        k = _stratify(groups, list(part_left), [dict(w) for w in part_wanted])
-        return pd.DataFrame({"root": bucket["root"].to_numpy(), "split": [names[i] for i in k]})
-
-    rest = vectors.filter(~big).withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets)))
-    second = rest.groupBy("bucket").applyInPandas(one, f"root {root_type}, split string")
-    return rows.select("node", "root").join(first.unionByName(second), "root").select(F.col("node").alias(node), F.col("root").alias(root), "split")
+    counted = cut(rows.groupBy("root", "label").agg(F.count("*").alias("n")))
+    labels = counted.groupBy("label").agg(F.sum("n").alias("total"), F.count("*").alias("_rows"))
+    totals = {r["label"]: r["total"] for r in labels.toLocalIterator()}
+    known = lookup(counted, labels, ["label"], "_rows")
+    entry = F.struct("total", "label", "n")
+    vectors = known.groupBy("root").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(entry)).alias("labels"))
+    vectors = cut(vectors.withColumn("type", F.xxhash64("labels")))
+    types = vectors.groupBy("type", "size", "labels").agg(F.count("*").alias("many"))
+    types = cut(types)
+    leading = F.col("labels")[0]
+    ordered = types.orderBy(leading["total"], leading["label"], F.desc(leading["n"]), F.desc("size"), "type")
+    numbers: list[tuple[int, int]] = []
+
+    def stream() -> Iterator[tuple]:
+        for r in ordered.toLocalIterator():
+            numbers.append((r["type"], r["size"]))
+            yield r["many"], r["size"], {x["label"]: x["n"] for x in r["labels"]}, r["labels"][0]["label"]
+
+    folder, schema = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}", "type long, size long, upto array<long>"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    done: list[tuple] = []
+    wanted = {x: [n * s for s in share] for x, n in totals.items()}
+    for quota in stratify(stream(), [sum(totals.values()) * s for s in share], wanted):
+        done.append((*numbers.pop(), list(accumulate(quota))))
+        if len(done) >= block:
+            spark.createDataFrame(done, schema).write.mode("append").parquet(folder)
+            done = []
+    if done:
+        spark.createDataFrame(done, schema).write.mode("append").parquet(folder)
+    placed = spark.read.schema(schema).parquet(folder)
+    # The place of a component among its type: places within a bucket, after the counts of the buckets before.
+    spread = vectors.select("root", "type", "size", F.pmod(F.xxhash64("root", F.lit(1)), F.lit(1024)).alias("bucket"))
+    inside = spread.withColumn("place", F.row_number().over(Window.partitionBy("type", "size", "bucket").orderBy("root")))
+    before = Window.partitionBy("type", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy("type", "size", "bucket").agg(F.count("*").alias("here"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("here").over(before), F.lit(0)))
+    found = lookup(inside, starts.join(placed, ["type", "size"]), ["type", "size", "bucket"], "here")
+    index = F.size(F.filter("upto", lambda u: u < F.col("place") + F.col("start")))
+    names_ = F.array(*(F.lit(n) for n in names))
+    chosen = found.select("root", F.get(names_, index).alias("split"))
+    weights = chosen.join(vectors.select("root", "size"), "root")
+    return lookup(rows.select("node", "root"), weights, ["root"], "size").select(F.col("node").alias(node), F.col("root").alias(root), "split")

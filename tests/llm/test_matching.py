@@ -134,13 +134,27 @@ def test_grouped_splits(spark):
     rows = [(i, f"g{rng.randrange(900)}" if i > 900 else "giant", rng.choice(["a", "a", "a", "b", None]), "x") for i in range(3000)]
     df = spark.createDataFrame(rows, "id int, root string, label string, size string")
     shares = {"train": 0.6, "test": 0.4}
-    for bucket in (100_000, 100):
-        got = grouped_splits.grouped_splits(df, "id", "root", "label", shares, bucket).collect()
+    results = []
+    for block in (100_000, 3):
+        got = grouped_splits.grouped_splits(df, "id", "root", "label", shares, block).collect()
         assert len(got) == 3000 and len({(r["root"], r["split"]) for r in got}) == len({r["root"] for r in got})
-        assert abs(sum(r["split"] == "train" for r in got) / 3000 - 0.6) < 0.03
+        assert abs(sum(r["split"] == "train" for r in got) / 3000 - 0.6) < 0.01
+        results.append({r["id"]: r["split"] for r in got})
+    assert results[0] == results[1]
     assert grouped_splits.grouped_splits(df.limit(0), "id", "root", "label", shares).count() == 0
 
 
+def test_rare_labels_keep_their_proportions(spark):
+    rng = random.Random(7)
+    rows = [(i, f"g{i // 2}", "rare" if i % 200 < 2 else rng.choice("abc")) for i in range(8000)]
+    df = spark.createDataFrame(rows, "id int, root string, label string")
+    got = {r["id"]: r["split"] for r in grouped_splits.grouped_splits(df, "id", "root", "label", {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()}
+    for label, tolerance in (("rare", 0.011), ("a", 0.01), ("b", 0.01), ("c", 0.01)):
+        own = [i for i, _, x in rows if x == label]
+        for split, want in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+            assert abs(sum(got[i] == split for i in own) / len(own) - want) <= tolerance
+
+
 def test_leaks_against_planted_passages(spark):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
