@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of all rows; hence there are at most so many hot keys, whatever the data.
-HOT_KEYS = 1000
+#: A key is hot from this many rows, or from ``1 / MOST_HOT`` of all rows if that is more, so that there are at most
+#: ``MOST_HOT`` hot keys to broadcast, whatever the data, and no other key fills a task.
+HOT_ROWS, MOST_HOT = 500_000, 100_000
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which holds one row for each key and in ``weight`` how many of ``rows`` have it.
 
-    Hot keys, a thousand at most by their definition, are broadcast, so that their rows stay where they are; all others
-    are shuffled, and none of them can fill a task.  ``how`` is inner or left; rows with a null key match nothing and, in a
-    left join, stay where they are too.  The weight is dropped.  Columns of both sides must differ but for the keys.
+    The rows of hot keys stay where they are, their table rows being broadcast; all others are shuffled.  Where no key can
+    be hot, as there are too few rows, one plain join does.  ``how`` is inner or left; rows with a null key match nothing
+    and, in a left join of hot keys, stay where they are too.  The weight is dropped.  Columns of both sides must differ but for the keys.
     ``total`` spares the count of the rows to a caller that knows it, or a number it is not far from.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     if total is None:
-        total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    hot = table.filter(F.col(weight) * HOT_KEYS >= max(total, 1)).drop(weight)
-    cold = table.filter(F.col(weight) * HOT_KEYS < max(total, 1)).drop(weight)
+        total, most = table.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    else:
+        most = total
+    least = max(HOT_ROWS, -(-total // MOST_HOT))
+    if most < least:
+        return rows.join(table.drop(weight), keys, how)
+    hot = table.filter(F.col(weight) >= least).drop(weight)
+    cold = table.filter(F.col(weight) < least).drop(weight)
     first = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     if how == "inner":

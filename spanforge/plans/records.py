@@ -9,7 +9,7 @@ from spanforge.functions import ids, quotes, text
 from spanforge.functions.latest import latest
 from spanforge.operators import anonymize, corpus, validation
 from spanforge.plans.history import edition_sequence
-from spanforge.session import table
+from spanforge.session import secret, table
 
 CASE_COLUMNS = [
     "edition_id", "topic", "split", "outcome", "complaint_argument_raw", "complaint_argument_blind", "complaint_argument_source", "gold_norms", "gold_evidence",
@@ -75,14 +75,17 @@ def citation_flags(s, d):
 
 
 def public_ids(s, d):
-    return cases(s, d).select("case_id", text.public_id("case", "salt", F.col("case_id")).alias("public_id"), text.fingerprint(F.coalesce("complaint_argument_raw", F.lit(""))).alias("fingerprint"))
+    """Fingerprints, and whether the salted pseudonyms of all ids are well-formed and as many as the ids."""
+    c = cases(s, d).withColumn("public_id", text.public_id("case", secret(s, "public ids"), F.col("case_id")))
+    of = Window.partitionBy("public_id")
+    return c.select("case_id", (F.col("public_id").rlike("^case_[0-9a-f]{12}$") & (F.count("*").over(of) == 1)).alias("sound"), text.fingerprint(F.coalesce("complaint_argument_raw", F.lit(""))).alias("fingerprint"))
 
 
 def release_rows(s, d):
     """Public rows: labels of the eval split withheld, text normalised, ids replaced."""
     c = cases(s, d)
     hide = lambda x: F.when(F.col("split") == "eval", F.lit(None)).otherwise(F.col(x)).alias(x)
-    return c.select(text.public_id("case", "salt", F.col("case_id")).alias("case_id"), "split", hide("issue_type"), hide("outcome"), F.when(F.col("split") == "eval", F.lit(0)).otherwise(F.size("gold_norms")).alias("norms"), F.length(text.normalize_text(F.col("doc_fragment"))).alias("fragment_chars"))
+    return c.select(text.public_id("case", secret(s, "public ids"), F.col("case_id")).alias("case_id"), "split", hide("issue_type"), hide("outcome"), F.when(F.col("split") == "eval", F.lit(0)).otherwise(F.size("gold_norms")).alias("norms"), F.length(text.normalize_text(F.col("doc_fragment"))).alias("fragment_chars"))
 
 
 def manifest(s, d):
@@ -186,7 +189,7 @@ SQL = {
     "split_groups": _EC + "SELECT case_group_id AS group_id, count(DISTINCT split) AS splits, count(*) AS cases FROM ec WHERE case_group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "split_policy": _EC + "SELECT CAST(sum(n) AS BIGINT) AS cases, CAST(sum(e) AS BIGINT) AS eval_cases, CAST(round_even(sum(n) * 0.3::DOUBLE, 0) AS BIGINT) AS wanted, count_if(n >= 2 AND (e = 0 OR d = 0)) AS uneven_topics FROM (SELECT topic, count_if(split = 'eval') AS e, count_if(split = 'dev') AS d, count(*) AS n FROM ec GROUP BY topic)",
     "edition_at_notice": _EC + "SELECT case_id, x.law_id, day, edition_id AS edition_in_force FROM (SELECT DISTINCT case_id, day, split_part(n, ':', 1) AS law_id FROM (SELECT case_id, strftime(try_cast(notice_date AS DATE), '%Y-%m-%d') AS day, unnest(gold_norms) AS n FROM ec WHERE try_cast(notice_date AS DATE) IS NOT NULL)) x JOIN ep ON ep.law_id = x.law_id AND start <= day AND day < until",
-    "public_ids": _EC + "SELECT case_id, 'case_' || substr(sha256('salt' || case_id), 1, 12) AS public_id, substr(sha256(coalesce(complaint_argument_raw, '')), 1, 16) AS fingerprint FROM ec",
+    "public_ids": _EC + "SELECT case_id, true AS sound, substr(sha256(coalesce(complaint_argument_raw, '')), 1, 16) AS fingerprint FROM ec",
     "manifest": _EC + "SELECT split, count(*) AS cases, count_if(annotation_status = 'verified') AS verified, sha256(string_agg(case_id, chr(10) ORDER BY case_id)) AS sha256 FROM ec GROUP BY split",
     "chunk_faults": _EC + "SELECT chunk_id AS key, 'too_long' AS rule FROM ck WHERE NOT coalesce(length(text) <= coalesce(max_chunk, 1073741824), false) UNION ALL SELECT chunk_id, 'offsets' FROM ck WHERE NOT coalesce(length(text) = char_end - char_start, false) UNION ALL SELECT chunk_id, 'no_size' FROM ck WHERE max_chunk IS NULL",
     "chunk_units": _EC + r"SELECT chunk_id, count(*) AS units, string_agg(norm_id, '|' ORDER BY u.char_start, u.char_end, norm_id) AS norm_ids FROM ck JOIN nu u ON NOT u.is_repealed AND regexp_extract(ck.norm_ids[1], '^([^:]*:[^:]*)', 1) = regexp_extract(u.norm_id, '^([^:]*:[^:]*)', 1) AND u.char_start < ck.char_end AND ck.char_start < u.char_end WHERE ck.char_end > ck.char_start GROUP BY chunk_id",

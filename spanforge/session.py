@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import secrets
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str | None = None, name: str = "spanforge") -> SparkSession:
@@ -41,16 +44,46 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spanforge-")
+    own = tempfile.mkdtemp(prefix="spanforge-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    folder = "file://" + own
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *metrics: Column):
     """The rows of ``df`` with its lineage cut: written to the shared folder as Parquet and read again.
 
-    The files outlive the loss of an executor, unlike a local checkpoint.
+    The files outlive the loss of an executor, unlike a local checkpoint.  They lie in a folder of the application,
+    so that whoever owns the shared folder can remove them by its id; ``drop_cuts`` does.  With ``metrics``, aggregates that
+    are taken while the rows are written, the result is a pair of the rows and a dict of their values.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, *metrics) if metrics else df).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return (out, seen.get) if metrics else out
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; results must have been read or written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_local_secret = secrets.token_hex(32)
+
+
+def secret(spark: SparkSession, purpose: str) -> str:
+    """The key of pseudonyms: ``spanforge.secret`` of the session, else SPANFORGE_SECRET; each purpose has one of its own.
+
+    No key is built in.  Where none is set, a local session gets a random one for the life of the process, so that its
+    pseudonyms can't be linked or inverted later; on a cluster that is an error.
+    """
+    known = spark.conf.get("spanforge.secret", None) or os.environ.get("SPANFORGE_SECRET")
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spanforge.secret must be set")
+        known = _local_secret
+    return f"{purpose}|{known}"
