@@ -5,7 +5,7 @@ root(f * rarity).  The dot product of two vectors is at least the rarity of the
 words that differ by an edit distance of at most a share s of the longer one lose few pairs (``_lost``), the rarest at
 worst, so that each record knows the least dot product that a partner must reach.  Pruning, which loses no pair:
 
-* maximum weight: what a list can add is bounded by the greatest weight that a record of another split has in it.  Lists
+* maximum weight: what a list can add is bounded by the greatest count that a record of another split has in it.  Lists
   that no other split is in add nothing; a record that cannot reach its bound even with all its lists has no partner; only the
   rarest pairs enter the inverted lists, until all others together cannot reach the bound;
 * residual norm: where two records meet in their first common list, the rest of the product is at most the product of the
@@ -71,7 +71,7 @@ def text_classes(records: DataFrame, key: str, side: str, text: str) -> tuple[Da
 
 
 def _slot_table(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per slot: how many classes have a pair there, the greatest root of a pair's count in one split, and in the others.
+    """Per slot: how many classes have a pair there, the greatest count of a pair in one split's class, and in the others'.
 
     A task hands on its used slots only, so that the table's fixed size bounds what is shuffled and collected.
     """
@@ -98,7 +98,7 @@ def _slot_table(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     slots = got["slot"].to_numpy(dtype=np.int64)
     n, owner, most = np.zeros(COUNT_SLOTS, dtype=np.int64), np.zeros(COUNT_SLOTS, dtype=np.int64), np.zeros((2, COUNT_SLOTS), dtype=np.float32)
     n[slots], owner[slots] = got["n"], got["owner"]
-    most[0, slots], most[1, slots] = np.sqrt(got["first"]), np.sqrt(got["second"])
+    most[0, slots], most[1, slots] = got["first"], got["second"]
     return n, owner, most
 
 
@@ -132,7 +132,8 @@ def _postings(classes: DataFrame, share: float) -> DataFrame:
                 gone = np.minimum(tf, np.maximum(0, lost - (mass - tf)))
                 least = float(((tf - gone) * rarity).sum())
                 other = np.where(owner[slots] == side_id, most[1, slots], most[0, slots])
-                adds = rarity * np.sqrt(tf) * other
+                # (what two records share in a list is at most the smaller of their counts)
+                adds = rarity * np.minimum(tf, other)
                 after = np.concatenate([np.cumsum(adds[::-1])[::-1], [0.0]])
                 if after[0] < least - 1e-6:
                     continue
@@ -162,10 +163,12 @@ def links(classes: DataFrame, share: float = 0.2) -> DataFrame:
     facts = ("class_id", "side", "n", "own", "rest", "least", *names)
     sizes = posted.groupBy("term").agg(F.count("*").alias("size"), F.min("side").alias("low"), F.max("side").alias("high")).filter("low < high")
     long_lists = cut(sizes.filter(F.col("size") > LIST_PART).select("term", F.ceil(F.col("size") / LIST_PART).cast("int").alias("parts")))
+    first, last = posted.agg(F.min("side"), F.max("side")).first()
     small = long_lists.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     marked = posted.join(F.broadcast(long_lists) if small else long_lists, "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    a = marked.select("term", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in facts))
-    b = marked.select("term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in facts))
+    # (the smaller side of a link is never the last, nor the greater one the first)
+    a = marked.filter(F.col("side") < F.lit(last)).select("term", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"a_{c}") for c in facts))
+    b = marked.filter(F.col("side") > F.lit(first)).select("term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"b_{c}") for c in facts))
     most = F.floor(F.greatest("a_n", "b_n") * F.lit(share) + F.lit(1e-9))
     only = lambda x, y: sum((F.bit_count(F.col(f"{x}_{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{c}")))) for c in names), F.lit(0))
     met = a.join(b, ["term", "part"]).filter(
