@@ -38,24 +38,21 @@ def components(links: DataFrame, node: str, key: str, most_rounds: int = 60) ->
     nodes = rows.select("u").distinct()
     keyed = rows.filter("k is not null").distinct()
     centre = keyed.groupBy("k").agg(F.min("u").alias("m"), F.count("*").alias("n")).filter("n > 1")
-    edges = cut(lookup(keyed, centre, ["k"], "n").filter("u <> m").select("u", F.col("m").alias("v")).distinct())
-    measure = lambda: tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = measure()
+    state = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    edges, before = cut(lookup(keyed, centre, ["k"], "n").filter("u <> m").select("u", F.col("m").alias("v")).distinct(), *state)
     for _ in range(most_rounds):
         # Large star: every greater neighbour of a node is tied to the least of its neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # (both sides of an edge: a node's weight in ``both`` is its degree)
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = lookup(both.filter("v > u"), least, ["u"], "n", total=before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(lookup(both.filter("v > u"), least, ["u"], "n", total=before["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         # Small star: a node and its lesser neighbours are tied to the least of them.
-        large = cut(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = lookup(large, low, ["u"], "n", total=before[0]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.*").filter("u <> v").distinct())
-        state = measure()
-        if state == before:
+        small = lookup(large, low, ["u"], "n", total=before["n"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges, now = cut(small.select("e.*").filter("u <> v").distinct(), *state)
+        if now == before:
             break
-        before = state
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return nodes.join(edges, "u", "left").select(F.col("u").alias(node), F.coalesce("v", "u").alias("root"))
