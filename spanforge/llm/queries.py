@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.latest import latest
 from spanforge.llm import boilerplate, cross_split, grouped_splits, leaks, lookalikes, packing, personal, reading_level, splitting
-from spanforge.session import table
+from spanforge.session import secret, table
 
 
 def _p7_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +129,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """The same texts with typed placeholders."""
-    return personal.redacted(_p6_texts(spark, d), "text", "spanforge").select("case_id", "field", "item_no", "redacted")
+    """The same texts with typed placeholders; the key is the session's (``session.secret``)."""
+    return personal.redacted(_p6_texts(spark, d), "text", secret(spark, "pseudonyms")).select("case_id", "field", "item_no", "redacted")
+
+
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per text, whether its redacted form is the text with its pieces replaced and nothing else, and holds no mail address or phone."""
+    texts = personal.redacted(personal.with_pieces(_p6_texts(spark, d), "text", "pieces"), "text", secret(spark, "pseudonyms"))
+    mark = r"\[(?:EMAIL|SNILS|TAX_ID|PASSPORT|PHONE|ADDRESS|PERSON|BIRTH_DATE):[^\]]*\]"
+    step = lambda at, p: F.struct(F.concat(at["kept"], F.substring("text", at["upto"] + 1, p["char_start"] - at["upto"])).alias("kept"), p["char_end"].alias("upto"))
+    rest = F.aggregate("pieces", F.struct(F.lit("").alias("kept"), F.lit(0).alias("upto")), step, lambda at: F.concat(at["kept"], F.col("text").substr(at["upto"] + 1, F.length("text"))))
+    kept = F.regexp_replace("redacted", mark, "")
+    return texts.select("case_id", "field", "item_no", F.col("text").isNull().alias("is_null"), F.coalesce(kept == rest, F.lit(True)).alias("rest_unchanged"), (~F.coalesce(kept.rlike(r"[A-Za-z0-9]@[A-Za-z0-9]"), F.lit(False))).alias("no_mail"))
 
 
 def tokenizer_file(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -170,7 +180,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_main": p4_main, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_found": p7_found,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_main": p4_main, "p5_found": p5_found, "p5_splits": p5_splits, "p6_found": p6_found, "p6_redacted": p6_redacted, "p6_check": p6_check, "p7_found": p7_found,
         "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found,
     }
 

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 from collections import Counter
 
@@ -120,6 +121,31 @@ def test_feistel_is_a_permutation_and_keeps_formats():
     assert personal.pseudonym("PERSON", "Кузнецов Пётр", b"k") == personal.pseudonym("PERSON", "Петру Кузнецову", b"k")
 
 
+def test_names_by_shape_and_context():
+    text = "Позвонил Тагир Хабибуллин, их встретил Азат Мингазов; Гульнара Садыкова; Смит Джон"
+    assert [v for _, v in kinds(text)] == ["Тагир Хабибуллин", "Азат Мингазов", "Гульнара Садыкова", "Смит Джон"]
+    assert kinds("Город Саратов, Московский Никитин двор, завод «Пермь Иванов», ул. Тагир Никитин, Жалоба Петров") == []
+
+
+def test_pseudonyms_are_injective_and_keyed():
+    rng = random.Random(3)
+    for kind, own, check in (("SNILS", 9, personal.snils_check), ("TAX_ID", 10, personal.tax_check)):
+        values = set()
+        for _ in range(400):
+            head = f"{rng.randrange(10**own):0{own}d}"
+            values |= {head + check(head), *(head + f"{rng.randrange(100):02d}" for _ in range(4))}
+        made = {v: personal.pseudonym(kind, v, b"k") for v in values}
+        assert len(set(made.values())) == len(values)
+        assert all((check(v[:own]) == v[own:]) == (check(p[:own]) == p[own:]) for v, p in made.items())
+    days = {f"{d:02d}.{m:02d}.{y}" for d in range(1, 29) for m in range(1, 13) for y in range(1960, 1975)}
+    assert len({personal.pseudonym("BIRTH_DATE", d, b"k") for d in days}) == len(days)
+    assert personal.pseudonym("PHONE", "+7 (912) 345-67-89", b"k")[2:] == personal.pseudonym("PHONE", "8 (912) 345-67-89", b"k")[1:]
+    assert personal.pseudonym("PASSPORT", "4506123456", b"k") != personal.pseudonym("PASSPORT", "4506123456", b"other")
+    assert len(personal.pseudonym("PERSON", "Иванов И. И.", b"k")) == 32
+    out = personal.redact("Дата рождения: 05.11.1980, протокол от 05.11.2019.", b"k")
+    assert re.fullmatch(r"Дата рождения: \[BIRTH_DATE:\d\d\.\d\d\.\d{4}\], протокол от 05\.11\.2019\.", out) and "05.11.1980" not in out
+
+
 def test_redaction_changes_nothing_else(spark):
     df = spark.createDataFrame([(1, PEOPLE, "q"), (2, None, "q"), (3, "", "q")], "id int, text string, kind string")
     got = {r["id"]: r["redacted"] for r in personal.redacted(df, "text", "key").collect()}
