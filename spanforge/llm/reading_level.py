@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
@@ -27,11 +27,12 @@ _CYRILLIC, _LATIN = re.compile("[А-Яа-яЁё]+"), re.compile("[A-Za-z]+")
 _ABSTRACT = frozenset("ение ения ению ении ание ания анию ании ость ости ация ации ацию иция иции ство ства ству стве".split())
 _PARTICIPLE = frozenset(a + b for a in ("ющ", "ящ", "ущ", "ащ", "вш", "нн", "ем") for b in ("ий", "ая", "ее", "ие", "ей", "их", "ую", "ый", "ое", "ые", "ым", "ых", "ой", "ом", "им"))
 _PARTICIPLE_LONG = frozenset(a + b for a in ("ющ", "ящ", "ущ", "ащ", "вш", "нн", "ем") for b in ("его", "ему", "ими", "ого", "ому", "ыми"))
-_LINKS = frozenset("что чтобы если поскольку вследствие включая путём постольку посредством согласно применительно безотносительно исключительно".split())
-_LINK_STEMS = frozenset(("котор", "преду", "указа"))
+_LINKS = frozenset("что чтобы если когда хотя пока ибо либо поскольку вследствие ввиду согласно посредством путём включая относительно".split())
+_LINK_STEMS = frozenset(("котор",))
 
-#: The number of rated documents the trees are fitted on, at most; taken by a hash of their ids.
-SAMPLE = 4000
+#: The number of rated documents the trees are fitted on, at most, taken by a hash of their ids, and of the sentences of
+#: each, evenly spaced; grading takes all sentences of all documents.
+SAMPLE, SENTENCES = 4000, 200
 LEVELS = (1, 2, 3)
 FEATURES = 12
 
@@ -153,6 +154,7 @@ class LevelModel:
     starts: np.ndarray
     grades: np.ndarray
     agreement: float = 0.0
+    by_group: dict = field(default_factory=dict)
 
     def calibrated(self, predicted: np.ndarray) -> np.ndarray:
         grade = self.grades[np.maximum(np.searchsorted(self.starts, predicted, side="right") - 1, 0)]
@@ -172,7 +174,7 @@ class LevelModel:
 def train(sentences: list[list[list[float]]], y: np.ndarray, raters: np.ndarray, groups: np.ndarray, folds: int = 5) -> LevelModel:
     """Fitted on the sentences of all rated texts, calibrated on predictions for groups (sources) their fold has not seen.
 
-    ``agreement`` is the share of texts whose cross-validated level is the raters' one.
+    ``agreement`` is the share of texts whose cross-validated level is the raters' one, ``by_group`` has it with the number of texts by group.
     """
     counts = [len(r) for r in sentences]
     x = np.array([row for rows in sentences for row in rows])
@@ -192,7 +194,9 @@ def train(sentences: list[list[list[float]]], y: np.ndarray, raters: np.ndarray,
         held = trees.predict(x)
     model = LevelModel(trees, *isotonic(held, y[text], weight))
     given = np.clip(np.rint(y), LEVELS[0], LEVELS[-1])
-    model.agreement = float(np.average(model.levels(sentences, held) == given, weights=raters))
+    right = model.levels(sentences, held) == given
+    model.agreement = float(np.average(right, weights=raters))
+    model.by_group = {str(g): (int((groups == g).sum()), float(right[groups == g].mean())) for g in set(groups)}
     return model
 
 
@@ -212,6 +216,7 @@ def reading_levels(documents: DataFrame, doc_id: str, text: str, source: str, la
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = [features(t) if t is not None and is_russian(t) else [] for t in b["text"]]
+            x = [r if len(r) <= SENTENCES else [r[i * len(r) // SENTENCES] for i in range(SENTENCES)] for r in x]
             yield b[["id", "source", "y", "n"]].assign(x=x)[[bool(r) for r in x]]
 
     rows = known.join(F.broadcast(some), "id").mapInPandas(describe, f"id {key_type}, source string, y double, n long, x array<array<double>>").toPandas()
