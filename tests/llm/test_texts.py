@@ -38,6 +38,19 @@ def test_trie_reaches_by_twins_only():
     assert trie.reach("слад") == []
 
 
+def test_strange_letters_cost_little_and_other_edits_too_much(spark):
+    alpha = chr(0x251)
+    trie = lookalikes.Trie()
+    for w, c in (("склад", 50), ("слад", 9), ("каз", 3), ("киз", 2)):
+        trie.add(w, c)
+    assert [w for _, _, w in trie.reach("скл" + alpha + "д", lookalikes.BUDGET)] == ["склад"] and trie.reach("сквад", lookalikes.BUDGET) == []
+    assert lookalikes.spell("к" + alpha + "з", trie, 1)[0] == "к" + alpha + "з"
+    plain = ["поставка на склад по договору"] * 8 + ["нечто ещё"]
+    dirty = ["пост" + alpha + "вка на скл" + alpha + "д", "скл" + alpha + "дище", "Müller и λόγος"]
+    got = canonical(spark, plain + dirty)
+    assert [got[len(plain) + i] for i in range(3)] == ["поставка на склад", dirty[1], dirty[2]]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="абв .,;\n!АБ" + STRESS, max_size=400), st.integers(5, 60), st.integers(0, 70))
 def test_pieces_rebuild_the_text(text, limit, overlap):
