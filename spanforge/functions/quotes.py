@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Quotation marks and hyphens that count as one character each.
-_FOLD = {ord(c): '"' for c in "«»“”„‟″"} | {ord(c): "'" for c in "‘’‚‛′"} | {ord(c): "-" for c in "‐‑‒–—−"}
+_KINDS = {'"': "«»“”„‟", "'": "‘’" + chr(0x2BC) + "`", "-": "‐‑‒–—−"}
+_FOLD = {ord(c): k for k, chars in _KINDS.items() for c in chars}
 _TRIM = re.compile(r"^[\s#>*•·\-–—|]+|[\s|*]+$")
 
 
@@ -78,6 +79,5 @@ def quote_candidates(text: Column) -> Column:
 
 def contains_quote(quote: Column, source: Column) -> Column:
     """Whether the quote is in the source, marks, hyphens and space folded, without leaving the JVM."""
-    kinds = {'"': "«»“”„‟″", "'": "‘’‚‛′", "-": "‐‑‒–—−"}
-    fold = lambda c: F.trim(F.regexp_replace(F.translate(c, "".join(kinds.values()), "".join(k * len(v) for k, v in kinds.items())), r"(?U)\s+", " "))
+    fold = lambda c: F.trim(F.regexp_replace(F.translate(c, "".join(_KINDS.values()), "".join(k * len(v) for k, v in _KINDS.items())), r"(?U)\s+", " "))
     return F.coalesce((F.length(fold(quote)) > 0) & F.contains(fold(source), fold(quote)), F.lit(False))

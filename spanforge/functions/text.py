@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words that make a short text a mere pointer to a list of other rules, and the numbered citations of rules.
-POINTER = "(?iu)в следующих случаях|следующие случаи|в случаях, предусмотренных"
-CITATION = r"(?iuU)(?:\bст(?:атья|атьи|атье|атью|атьей|атьёй|\.)|\bч(?:асть|асти|астью|\.)|\bп(?:ункт|ункта|ункте|унктом|\.))\s*(?:№\s*)?\d+"
+# The phrase of a short text that only points to another article, and the numbered citations of articles, parts and points.
+POINTER = "(?iu)в соответствии со стать"
+CITATION = r"(?iuU)(?:\bстат(?:ья|ьи|ье|ью|ьёй|ей)|\bст\.?|\bчаст(?:ь|и|ью)|\bч\.?|\bпункт(?:а|е|ом|ы)?|\bп\.?)\s*\d+(?:\.\d+)*"
 
 
 def tokenize(text: Column) -> Column:
@@ -30,13 +32,21 @@ def normalize_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def normalized(text: str) -> str:
+    """``normalize_text`` outside of Spark."""
+    lines = [" ".join(filter(None, re.split(r"[ \t\f\v]+", line))).strip() for line in re.split(r"\r\n?|\n", text.replace(chr(0xA0), " "))]
+    # Of neighbouring empty lines one is left.
+    kept = [line for line, before in zip(lines, ["", *lines]) if line or before]
+    return "\n".join(kept).strip()
+
+
 def unescape_markdown(text: Column) -> Column:
     """Without inline data images and without backslashes before punctuation."""
     return F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\(data:[^)]*\)", ""), r"\\([\\`*_{}\[\]()#+\-.!>~|])", "$1")
 
 
 def is_pointer_text(text: Column, most: int = 240) -> Column:
-    """Short once its space is folded, and naming the cases listed elsewhere."""
+    """Short once its space is folded, and pointing to another article."""
     folded = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return (F.length(folded) <= most) & folded.rlike(POINTER)
 

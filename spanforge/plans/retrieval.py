@@ -214,7 +214,7 @@ def overlap_weighted(s, d):
     law = F.regexp_extract(F.get("norm_ids", F.lit(0)), "^([^:]*)", 1)
     spans = latest(table(s, d, "norm_units").filter("unit_level = 'article'"), ["norm_id"], "loaded_at", ["edition_id", "is_repealed", "char_start", "char_end"])
     newest = b.corpus.select(F.explode("norm_ids").alias("n")).select(F.regexp_extract("n", "^([^:]*)", 1).alias("law"), F.regexp_extract("n", "^[^:]*:([^:]*)", 1).alias("edition_id")).groupBy("law").agg(F.max("edition_id").alias("edition_id"))
-    whole = table(s, d, "norm_units").groupBy(F.regexp_replace("norm_id", r"^([^:]*:[^:]*:art\.[^:]*).*$", "$1").alias("norm_id")).agg(F.min("char_start").alias("start"), F.max("char_end").alias("end"))
+    whole = latest(table(s, d, "norm_units"), ["norm_id"], "loaded_at", ["char_start", "char_end"]).groupBy(F.regexp_replace("norm_id", r"^([^:]*:[^:]*:art\.[^:]*).*$", "$1").alias("norm_id")).agg(F.min("char_start").alias("start"), F.max("char_end").alias("end"))
     live = spans.filter("not is_repealed").join(whole, "norm_id").select(F.regexp_extract("norm_id", "^([^:]*)", 1).alias("law"), "edition_id", ids.article_key(F.col("norm_id")).alias("article"), "start", "end").join(newest, ["law", "edition_id"], "left_semi")
     ranking = b.bm25().join(b.corpus.select("item", law.alias("law"), "char_start", "char_end"), "item")
     return evidence.overlap_weighted(ranking, live, 10)

@@ -109,7 +109,7 @@ SQL = {
         SELECT a.item, a.article, b.item AS neighbor, CAST(b.n - a.n AS INT) AS distance FROM p a JOIN p b ON a.article = b.article AND abs(a.n - b.n) BETWEEN 1 AND 2 WHERE a.item IN (SELECT item FROM bm WHERE rank <= 10)""",
     "overlap_weighted": BASE + r""", nu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm_id ORDER BY loaded_at DESC) AS rn FROM norm_units WHERE unit_level = 'article') WHERE rn = 1 AND NOT is_repealed),
         nw AS (SELECT split_part(n, ':', 1) AS law, max(split_part(n, ':', 2)) AS ed FROM cn GROUP BY 1),
-        wh AS (SELECT regexp_replace(norm_id, '^([^:]*:[^:]*:art\.[^:]*).*$', '\1') AS norm_id, min(char_start) AS s, max(char_end) AS e FROM norm_units GROUP BY 1),
+        wh AS (SELECT regexp_replace(norm_id, '^([^:]*:[^:]*:art\.[^:]*).*$', '\1') AS norm_id, min(char_start) AS s, max(char_end) AS e FROM (SELECT norm_id, arg_max(char_start, loaded_at) AS char_start, arg_max(char_end, loaded_at) AS char_end FROM norm_units GROUP BY norm_id) GROUP BY 1),
         sp AS (SELECT split_part(norm_id, ':', 1) AS law, split_part(norm_id, ':', 1) || ':' || regexp_extract(norm_id, ':(art\.\d+(?:\.\d+)?)(?:$|:)', 1) AS article, s, e FROM nu JOIN wh USING (norm_id) JOIN nw ON nw.law = split_part(norm_id, ':', 1) AND nw.ed = edition_id),
         x AS (SELECT query_id, article, rank AS r, round((least(char_end, e) - greatest(char_start, s)) / CAST(char_end - char_start AS DOUBLE) / (60 + rank), 9) AS score FROM bm JOIN c USING (item) JOIN sp ON sp.law = split_part(norm_ids[1], ':', 1) WHERE char_end > char_start AND least(char_end, e) > greatest(char_start, s)),
         y AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY score DESC, r) AS n FROM x)

@@ -95,7 +95,12 @@ def test_extraction():
     with zipfile.ZipFile(outer, "w") as z:
         z.writestr("a.txt", "текст")
         z.writestr("../b.txt", "вне")
-    assert extract.extract(outer.getvalue()) == ("текст", "archive:zip")
+        inner = io.BytesIO()
+        with zipfile.ZipFile(inner, "w") as y:
+            y.writestr("c.html", "<html><p>внутри</p>")
+        z.writestr("b.zip", inner.getvalue())
+    assert extract.extract(outer.getvalue()) == ("текст\n\nвнутри", "archive:zip")
+    assert [(n, state) for n, _, state in extract.members(outer.getvalue(), "z")] == [("z!../b.txt", "unsafe"), ("z!a.txt", "read"), ("z!b.zip!c.html", "read")]
     assert extract.extract(b"%PDF-1.4")[1] == "unsupported:pdf" and extract.extract(b"PK\x03broken")[1].startswith("error") and extract.extract(b"") == ("", "txt")
     blocks = extract.html_blocks('<p class="H">Статья 24<sup>1</sup>. О</p><p>1. Часть</p>')
     assert [(b["kind"], b["text"]) for b in blocks] == [("article_title", "Статья 24.1. О"), ("body", "1. Часть")] and blocks[1]["char_start"] == len("Статья 24.1. О") + 2
@@ -122,3 +127,13 @@ def test_streamed_postings(spark, tmp_path):
     got = current_postings(spark.read.parquet(str(tmp_path / "out")), "id").select("term", "id", "dl", "tf")
     want = postings(spark.createDataFrame([("a", "три"), ("b", None)], "id string, text string"), "id", "text").select("term", "id", "dl", "tf")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_members_of_archives_are_rows(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("a.txt", "раз")
+        z.writestr("b.pdf", b"%PDF-1.4")
+    files = spark.createDataFrame([("f.zip", buffer.getvalue()), ("g.txt", "два".encode()), ("h", None)], "path string, content binary")
+    got = {(r["path"], r["member"]): (r["text"], r["method"]) for r in extract.extracted_members(files).collect()}
+    assert got == {("f.zip", "a.txt"): ("раз", "txt"), ("f.zip", "b.pdf"): ("", "unsupported:pdf"), ("g.txt", ""): ("два", "txt"), ("h", ""): ("", "txt")}

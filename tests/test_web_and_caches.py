@@ -55,3 +55,16 @@ def test_caches(spark):
     assert [tuple(r) for r in caches.missing_pairs(wanted, wanted.filter("item = 'a'")).collect()] == [("q", "b")]
     runs = spark.createDataFrame([("m", 10.0), ("m", 20.0), ("m", 30.0)], "m string, ms double")
     assert tuple(caches.latency(runs, ["m"], "ms").first()) == ("m", 20.0, 29.0, 50.0)
+
+
+def test_document_links_and_pointers(spark):
+    from pyspark.sql import functions as F
+
+    from spanforge.functions import text, web
+
+    page = '<a href="#x">решение</a><a href="/a/decision.PDF">скан</a><a href="getdocs?id=1" title="Папка">x</a><a href="/epz/complaint/search/results.html">жалобы</a><a href="/n">Решение</a> href="/filestore/9" <a href="/other">прочее</a>'
+    assert web.document_links(page, "https://e.test/") == [("https://e.test/a/decision.PDF", "скан"), ("https://e.test/getdocs?id=1", "Папка"), ("https://e.test/n", "Решение"), ("https://e.test/filestore/9", "")]
+    rows = spark.createDataFrame([("Контракт заключается в соответствии со статьей 33.",), ("в следующих случаях: 1",), ("статьи 5 и п 3",), (None,)], "t string")
+    got = rows.select(text.is_pointer_text(F.col("t")).alias("p"), text.contains_direct_citation(F.col("t")).alias("c"), web.safe_name(F.concat(F.lit("a" * 150), F.lit(".pdf"))).alias("n")).collect()
+    assert [r["p"] for r in got] == [True, False, False, None] and [r["c"] for r in got] == [False, False, True, None]
+    assert got[0]["n"].endswith(".pdf") and len(got[0]["n"]) <= 120
