@@ -119,8 +119,10 @@ def _postings(classes: DataFrame, share: float) -> DataFrame:
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, owner, most, total = table.value
         for b in batches:
-            rows = []
-            for class_id, side, side_id, text in zip(b["class_id"], b["side"], b["side_id"], b["words"]):
+            lengths, bitmaps, bounds = np.zeros(len(b), dtype=np.int32), np.zeros((len(b), BITMAP_LONGS), dtype=np.int64), np.zeros(len(b))
+            entries: list[tuple] = [(np.empty(0, dtype=np.int64),) + (np.empty(0),) * 2]
+            many = np.zeros(len(b), dtype=np.int64)
+            for i, (side_id, text) in enumerate(zip(b["side_id"], b["words"])):
                 tokens = text.split()
                 terms, tf = np.unique(_pair_hashes(tokens), return_counts=True)
                 slots = (terms % COUNT_SLOTS).astype(np.int64)
@@ -139,10 +141,14 @@ def _postings(classes: DataFrame, share: float) -> DataFrame:
                     continue
                 norms = np.sqrt(np.concatenate([np.cumsum((rarity * tf * (other > 0))[::-1])[::-1], [0.0]]))
                 kept = np.flatnonzero((after[:-1] >= least - 1e-6) & (other > 0))
-                bits = _bitmap(tokens)
-                own = np.sqrt(rarity * tf)
-                rows += [(int(terms[k]), class_id, side, len(tokens), float(own[k]), float(norms[k + 1]), least, *bits) for k in kept.tolist()]
-            yield pd.DataFrame(rows, columns=["term", "class_id", "side", "n", "own", "rest", "least", *names])
+                lengths[i], bitmaps[i], bounds[i], many[i] = len(tokens), _bitmap(tokens), least, len(kept)
+                entries.append((terms[kept], np.sqrt(rarity * tf)[kept], norms[kept + 1]))
+            term, own, rest = (np.concatenate(x) for x in zip(*entries))
+            of = np.repeat(np.arange(len(b)), many)
+            yield pd.DataFrame({
+                "term": term, "class_id": b["class_id"].to_numpy()[of], "side": b["side"].to_numpy()[of], "n": lengths[of], "own": own, "rest": rest, "least": bounds[of],
+                **{x: bitmaps[of, k] for k, x in enumerate(names)},
+            })
 
     side_type = classes.schema["side"].dataType.simpleString()
     known = classes.filter("side is not null").select("class_id", "side", F.xxhash64("side").alias("side_id"), "words")
