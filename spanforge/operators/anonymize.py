@@ -24,7 +24,7 @@ RULES = (
     ("BANK_ACCOUNT", re.compile(r"(?i)сч[её]т\D{0,10}(?P<value>\d{20})(?!\d)")),
     ("BIRTH_DATE", re.compile(r"(?i)(?P<value>\d{2}\.\d{2}\.\d{4})(?=\s*(?:года рождения|г\.\s?р\.))")),
     ("BIRTH_DATE", re.compile(r"(?i)\b(?:дата\s+рождения|родил(?:ся|ась))\W{0,3}(?P<value>\d{1,2}[./-]\d{1,2}[./-]\d{2,4})\b")),
-    ("ADDRESS", re.compile(r"(?i)\b(?:адрес\s+(?:регистрации|проживания|места\s+жительства)|место\s+жительства)\s*[:—-]\s*(?P<value>[^\n;<][^\n;]{4,179})")),
+    ("ADDRESS", re.compile(r"(?i)\b(?:адрес\s+(?:регистрации|проживания|места\s+жительства)|место\s+жительства)\s*[:—-]\s*(?P<value>[^\s;<][^\n;]{4,179})")),
     ("ADDRESS", re.compile(r"(?:г\.|ул\.|пр-кт|пер\.)\s?" + _CAP + r"(?:,?\s(?:ул\.|пр-кт|пер\.|д\.|кв\.|оф\.|корп\.)\s?[\w/-]+)+")),
     ("PERSON", re.compile(rf"{_CAP}(?:-{_CAP})?\s{_CAP}\s[А-ЯЁ][а-яё]+(?:вич|вна|вича|вны|вичу|вне|вичем|вной|виче)\b")),
     ("PERSON", re.compile(rf"{_CAP}\s[А-ЯЁ][а-яё]+(?:вич|вна|вича|вны|вичу|вне|вичем|вной|виче)\s{_CAP}")),
