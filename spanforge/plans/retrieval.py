@@ -15,17 +15,23 @@ from spanforge.functions import ids
 from spanforge.functions.latest import latest
 from spanforge.functions.text import jaccard, token_cost, word_set
 from spanforge.operators import dense, evidence, fusion, lexical, metrics
-from spanforge.session import cut, table
+from spanforge.session import cut, signature, still_there, table
 
 POOL = 50
 BOTH = {"bm25": 2.0, "cosine": 1.0}
 
 
 class Base:
-    """The relations that the queries share; what several branches of a plan read is written once."""
+    """The relations that the queries share: an index, written once for each state of its tables and read by every query."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
         self.spark, self.d = spark, d
+        self.cuts: list[DataFrame] = []
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        self.cuts.append(out)
+        return out
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -36,7 +42,7 @@ class Base:
         number = F.regexp_extract("case_id", r"(\d+)$", 1).cast("long")
         rows = table(self.spark, self.d, "eval_cases").filter(number % 50 == 0)
         one = latest(rows, ["case_id"], "loaded_at", ["complaint_argument_blind", "gold_norms", "topic", "split", "case_group_id"])
-        return cut(one.filter(F.col("complaint_argument_blind").isNotNull()))
+        return self._kept(one.filter(F.col("complaint_argument_blind").isNotNull()))
 
     @cached_property
     def asked(self) -> DataFrame:
@@ -44,7 +50,7 @@ class Base:
 
     @cached_property
     def corpus(self) -> DataFrame:
-        return cut(latest(table(self.spark, self.d, "chunks"), ["chunk_id"], None, ["text", "norm_ids", "char_start", "char_end"]).withColumnRenamed("chunk_id", "item"))
+        return self._kept(latest(table(self.spark, self.d, "chunks"), ["chunk_id"], None, ["text", "norm_ids", "char_start", "char_end"]).withColumnRenamed("chunk_id", "item"))
 
     @cached_property
     def bridge(self) -> DataFrame:
@@ -57,15 +63,23 @@ class Base:
 
     @cached_property
     def posted(self) -> DataFrame:
-        return cut(lexical.postings(self.corpus, "item", "text"))
+        return self._kept(lexical.postings(self.corpus, "item", "text"))
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self._kept(lexical.term_weights(self.posted, "item"))
+
+    @cached_property
+    def postings_count(self) -> int:
+        return self.posted.count()
 
     @cached_property
     def rankings_(self) -> DataFrame:
         cols = ["query_id", "source", "rank", "item"]
-        return cut(self.bm25().withColumn("source", F.lit("bm25")).select(cols).unionByName(self.cosine().withColumn("source", F.lit("cosine")).select(cols)))
+        return self._kept(self.bm25().withColumn("source", F.lit("bm25")).select(cols).unionByName(self.cosine().withColumn("source", F.lit("cosine")).select(cols)))
 
     def bm25(self, k: int = POOL) -> DataFrame:
-        return lexical.bm25_search(self.posted, "item", self.asked, "query_id", "text", k)
+        return lexical.bm25_search(self.posted, "item", self.asked, "query_id", "text", k, self.weights, self.corpus.select("item"), self.postings_count)
 
     def cosine(self, k: int = POOL) -> DataFrame:
         return lexical.set_cosine_search(self.posted, "item", self.asked, "query_id", "text", k)
@@ -80,8 +94,24 @@ class Base:
         return ranking.join(units, "item").select("query_id", "rank", "item", "norm_id", "article")
 
 
+_kept_bases: dict[tuple, Base] = {}
+
+
 def base(spark: SparkSession, d: str) -> Base:
-    return Base(spark, d)
+    """The index of a folder's tables; a kept one serves again as long as its tables have not been written anew and its files are there."""
+    key = (spark.sparkContext.applicationId, d, signature(spark, d, ("eval_cases", "chunks")))
+    known = _kept_bases.get(key)
+    if known is None or not all(map(still_there, known.cuts)):
+        while len(_kept_bases) >= 4:
+            _kept_bases.pop(next(iter(_kept_bases)))
+        known = _kept_bases[key] = Base(spark, d)
+    return known
+
+
+def bm25_index(s, d):
+    """One row: the texts, terms and postings of the index that the lexical queries read."""
+    b = base(s, d)
+    return b.weights.agg(F.max("n").alias("texts"), F.count("*").alias("terms"), F.sum("df").alias("postings"))
 
 
 def _articles(b: Base, weights: dict[str, float] | None = None, limit: int = 10) -> DataFrame:
@@ -101,7 +131,7 @@ def bm25_topk(s, d):
 
 
 def bm25_terms(s, d):
-    return lexical.term_weights(base(s, d).posted, "item").select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
+    return base(s, d).weights.select("term", "df", F.round("idf", 6).alias("idf"), "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def set_cosine_topk(s, d):
@@ -346,7 +376,7 @@ def bootstrap_interval(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_terms, set_cosine_topk, dense_topk, rrf, weighted_rrf, article_projection, weighted_article_rrf, fuse_candidates, protected_shortlist,
+        bm25_index, bm25_topk, bm25_terms, set_cosine_topk, dense_topk, rrf, weighted_rrf, article_projection, weighted_article_rrf, fuse_candidates, protected_shortlist,
         retrieval_bonus, quota_fusion, interleave, article_diversify, top_articles, article_then_points, select_evidence, source_quota, candidate_map, candidate_pool,
         best_chunks, neighbors, overlap_weighted, recall_by_topic, overlap_at_k, best_rank_bucket, complementarity, repeated_slots, gold_status, label_mapping,
         leave_group_out, spearman, top_overlap, pareto, winner_tie_band, budget_winners, evidence_pack, adaptive_pack, diverse_selection, budget_pack, bootstrap_interval,

@@ -68,6 +68,7 @@ _LABELLED = r"""lb AS (SELECT DISTINCT case_id, group_id, label, regexp_replace(
 _FIRST = "row_number() OVER (PARTITION BY query_id ORDER BY {0}) AS rank"
 
 SQL = {
+    "bm25_index": BASE + "SELECT max(n) AS texts, count(*) AS terms, sum(df) AS postings FROM tw",
     "bm25_topk": BASE + "SELECT query_id, item, score, rank FROM bm WHERE rank <= 10",
     "bm25_terms": BASE + "SELECT term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl FROM tw",
     "set_cosine_topk": BASE + "SELECT query_id, item, score, rank FROM cs WHERE rank <= 10",

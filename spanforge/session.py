@@ -62,9 +62,27 @@ def cut(df: DataFrame, *metrics: Column):
     seen = Observation()
     (df.observe(seen, *metrics) if metrics else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
     return (out, seen.get) if metrics else out
 
 
+def still_there(cut_rows: DataFrame) -> bool:
+    """Whether the files of a cut have not been removed."""
+    spark = cut_rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cut_rows.cut_path}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def signature(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
+    """Sizes and times of the files of tables: what changes when a table is written anew."""
+    jvm, out = spark.sparkContext._jvm, []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path)] if system.exists(path) else [(name, -1, -1)]
+    return tuple(sorted(out))
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Removes what this application has written to the shared folder; results must have been read or written before."""
     jvm = spark.sparkContext._jvm
