@@ -88,6 +88,13 @@ def release_rows(s, d):
     return c.select(text.public_id("case", secret(s, "public ids"), F.col("case_id")).alias("case_id"), "split", hide("issue_type"), hide("outcome"), F.when(F.col("split") == "eval", F.lit(0)).otherwise(F.size("gold_norms")).alias("norms"), F.length(text.normalize_text(F.col("doc_fragment"))).alias("fragment_chars"))
 
 
+def release_labels(s, d):
+    """What a release says of each case: labels of the eval split withheld, and how long its normalised fragment is."""
+    c = cases(s, d)
+    hide = lambda x: F.when(F.col("split") == "eval", F.lit(None)).otherwise(F.col(x)).alias(x)
+    return c.select("case_id", "split", hide("issue_type"), hide("outcome"), F.length(text.normalize_text(F.col("doc_fragment"))).alias("fragment_chars"))
+
+
 def manifest(s, d):
     """Per split: cases, verified ones, and the digest of their ids in order."""
     c = cases(s, d)
@@ -154,7 +161,7 @@ def privacy_audit(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        law_stats, unit_id_check, unit_lineage, case_rule_report, missing_norms, split_groups, split_policy, edition_at_notice, citation_flags, public_ids, release_rows,
+        law_stats, unit_id_check, unit_lineage, case_rule_report, missing_norms, split_groups, split_policy, edition_at_notice, citation_flags, public_ids, release_rows, release_labels,
         manifest, chunk_faults, chunk_units, chunk_coverage, page_units, page_chunks, document_windows, quote_check, anonymized_cases, privacy_audit,
     )
 }
@@ -166,6 +173,8 @@ ed AS (SELECT law_id, edition_id, arg_max(effective_from, downloaded_at) AS ef F
 es AS (SELECT law_id, edition_id, CASE WHEN regexp_matches(ef, '^\d{4}-\d\d-\d\d$') THEN ef WHEN regexp_matches(ef, '^\d\d\.\d\d\.\d{4}$') THEN ef[7:10] || '-' || ef[4:5] || '-' || ef[1:2] ELSE edition_id END AS start FROM ed),
 ep AS (SELECT law_id, edition_id, start, coalesce(lead(start) OVER (PARTITION BY law_id ORDER BY start, edition_id), '9999-12-31') AS until FROM es)
 """
+_CITES = r"(^|[^\p{L}\p{N}_])(стат(ья|ьи|ье|ью|ьёй|ей)|ст\.?|част(ь|и|ью)|ч\.?|пункт(а|е|ом|ы)?|п\.?)[\s\x{a0}]*\d+"
+_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPAN = "({0} IS NULL OR coalesce({0}.char_start >= 0 AND {0}.char_end > {0}.char_start AND length({0}.quote) = {0}.char_end - {0}.char_start, false))"
 _RULES = {
     "norms_unique": "len(list_distinct(coalesce(gold_norms, []))) = len(coalesce(gold_norms, []))",
@@ -181,6 +190,17 @@ _RULES = {
 }
 
 SQL = {
+    "citation_flags": _EC + rf"SELECT case_id, regexp_matches(lower(complaint_argument_blind), '{_CITES}') AS cites, len(list_distinct(regexp_extract_all(lower(complaint_argument_blind), '[\p{{L}}\p{{Nd}}\p{{M}}\p{{Pc}}]+'))) >= 100 AS long, complaint_argument_blind = coalesce(complaint_argument_raw, '') AS same_as_raw FROM ec WHERE complaint_argument_blind IS NOT NULL",
+    "release_labels": _EC + r"""SELECT case_id, split, CASE WHEN split <> 'eval' THEN issue_type END AS issue_type, CASE WHEN split <> 'eval' THEN outcome END AS outcome,
+        length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(doc_fragment, chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t\f\x{0b}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS fragment_chars FROM ec""",
+    "document_windows": rf"""WITH RECURSIVE w AS (
+        SELECT doc_id, text, 0 AS i, 0 AS j, 0 AS n FROM documents WHERE length(text) > 700
+        UNION ALL SELECT doc_id, text, b, CASE WHEN e < length(text) AND sp > 0 AND b + 350 + length(s) - sp > b THEN b + 350 + length(s) - sp ELSE e END, n + 1 FROM (
+            SELECT *, strpos(reverse(s), ' ') AS sp FROM (SELECT *, substring(text, b + 351, e - b - 350) AS s FROM (SELECT *, least(b + 700, length(text)) AS e FROM (SELECT doc_id, text, n, j, CASE WHEN n = 0 THEN 0 ELSE greatest(j - 200, i + 1) END AS b FROM w WHERE j < length(text)))))),
+        p AS (SELECT doc_id, n, i, substring(text, i + 1, j - i) AS t FROM w WHERE n > 0 UNION ALL SELECT doc_id, 1, 0, text FROM documents WHERE length(text) <= 700),
+        x AS (SELECT doc_id, n, i, t, regexp_extract(t, '(?s)[^{_SPACE}](?:.*[^{_SPACE}])?') AS body, regexp_extract(t, '^[{_SPACE}]*') AS head, length(d.text) <= 700 AS whole FROM p JOIN documents d USING (doc_id)),
+        y AS (SELECT doc_id, n, CASE WHEN whole THEN i ELSE i + length(head) END AS a, CASE WHEN whole THEN t ELSE body END AS piece FROM x WHERE length(body) > 0)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS place, a AS char_start, a + length(piece) AS char_end, piece FROM y""",
     "law_stats": _EC + "SELECT split_part(norm_id, ':', 1) AS law_id, count_if(unit_level = 'article') AS articles, count_if(unit_level = 'part') AS parts, count_if(unit_level = 'point') AS points, count_if(is_repealed) AS repealed, count_if(is_retrieval_unit) AS retrieval_units, sum(length(text)) AS chars FROM nu GROUP BY 1",
     "unit_id_check": _EC + "SELECT norm_id, built FROM (SELECT norm_id, concat_ws(':', split_part(norm_id, ':', 1), edition_id, 'art.' || article, 'ch.' || part, CASE WHEN part IS NOT NULL THEN 'p.' || point END) AS built FROM nu) WHERE built <> norm_id",
     "unit_lineage": _EC + "SELECT unit_level, count(*) AS units, count(parent_norm_id) AS with_parent_id, count(CASE WHEN parent_norm_id IN (SELECT norm_id FROM nu) THEN 1 END) AS with_parent_row FROM nu GROUP BY unit_level",
