@@ -34,7 +34,7 @@ from spanforge.session import cut
 KINDS = ("chapter_title", "article_title", "body", "other", "")
 #: Weight of a parent against the occurrences of its child: of a style, and of the same node over all hosts.
 STYLE_WEIGHT, HOST_WEIGHT = 2.0, 10.0
-#: Log odds that a content on a single page of its host adds, and one on all pages.
+#: Log odds that a content on a single page of its host adds, and one on all pages; one at the share ``REPEATED`` of the full entropy adds none.
 SINGLE_ODDS, REPEATED_ODDS = -2.0, 2.0
 #: Share of the full entropy from which a content tells how the frame is presented.
 REPEATED = 0.75
@@ -168,7 +168,8 @@ def judge(b: pd.DataFrame, profiles: np.ndarray, mix: np.ndarray, styles: np.nda
     told = -math.log(min(1.0, float((np.sqrt(profiles[:1] * profiles[1:]).sum(axis=1) * mix[1:]).sum() / mix[1:].sum())))
     seen, pages = b["seen"].to_numpy(dtype=float), b["pages"].to_numpy(dtype=float)
     spread = np.where(pages > 1, np.log(np.minimum(seen, np.maximum(pages, 2))) / np.log(np.maximum(pages, 2)), 0.5)
-    odds = np.log(frame / (1 - frame)) + evidence + (SINGLE_ODDS + (REPEATED_ODDS - SINGLE_ODDS) * spread) / (1 + told * known * frame)
+    said = np.where(spread < REPEATED, SINGLE_ODDS * (1 - spread / REPEATED), REPEATED_ODDS * (spread - REPEATED) / (1 - REPEATED))
+    odds = np.log(frame / (1 - frame)) + evidence + said / (1 + told * known * frame)
     return 1 / (1 + np.exp(np.clip(odds, -50, 50)))
 
 
