@@ -19,24 +19,66 @@ def span_is_sound(span: Column) -> Column:
     return span.isNull() | F.coalesce((span["char_start"] >= 0) & (span["char_end"] > span["char_start"]) & (F.length(span["quote"]) == span["char_end"] - span["char_start"]), F.lit(False))
 
 
+# The labels that a verified case may have.
+ISSUE_TYPES = """restrictive_object_description defective_object_description unrelated_items_in_one_lot improper_participant_requirements rejection_product_or_information
+rejection_documents_or_qualification other_unlawful_rejection unlawful_admission inconsistent_procurement_documents electronic_procedure_failure contract_conclusion_violation
+statutory_preference_violation other unclear""".split()
+
+
 def case_rules() -> dict[str, Column]:
-    """The rules of a verified or excluded case."""
-    verified = F.col("annotation_status") == "verified"
-    norms, reasons = F.coalesce("gold_norms", F.array().cast("array<string>")), F.coalesce("exclusion_reasons", F.array().cast("array<string>"))
-    covered = F.transform("gold_evidence", lambda g: g["norm_id"])
-    implied = lambda a, b: ~F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    """The rules of a case: what is unique, what a verified case must and must not have, and why another one is left out."""
+    status = F.col("annotation_status")
+    texts = F.array().cast("array<string>")
+    norms, reasons = F.coalesce("gold_norms", texts), F.coalesce("exclusion_reasons", texts)
+    covered = F.coalesce(F.transform("gold_evidence", lambda g: g["norm_id"]), texts)
+    if_verified = lambda ok: ~status.eqNullSafe("verified") | F.coalesce(ok, F.lit(False))
+    there = lambda c: F.length(F.trim(c)) > 0
+    unique = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    duplicate = F.coalesce(there("duplicate_of"), F.lit(False))
     return {
-        "norms_unique": F.size(F.array_distinct(norms)) == F.size(norms),
-        "reasons_unique": F.size(F.array_distinct(reasons)) == F.size(reasons),
-        "verified_has_norms": implied(verified, F.size(norms) > 0),
-        "verified_has_argument": implied(verified, F.length(F.trim("complaint_argument_raw")) > 0),
-        "verified_has_no_reason": implied(verified, F.size(reasons) == 0),
-        "excluded_has_reason": implied(F.col("annotation_status") == "excluded", F.size(reasons) > 0),
-        "evidence_covers_norms": implied(verified, F.size(F.array_except(norms, F.coalesce(covered, F.array().cast("array<string>")))) == 0),
-        "source_span": span_is_sound(F.col("complaint_argument_source")),
-        "outcome_span": span_is_sound(F.col("outcome_evidence")),
-        "known_status": F.col("annotation_status").isin("draft", "verified", "excluded"),
-    }
+        "known_status": status.isin("draft", "verified", "excluded"), "norms_unique": unique(norms), "reasons_unique": unique(reasons), "evidence_unique": unique(covered),
+        **{f"verified_has_{c}": if_verified(there(c)) for c in ("complaint_argument_raw", "complaint_argument_blind", "notice_date", "issue_type")},
+        **{f"verified_has_{c}": if_verified(F.col(c).isNotNull()) for c in ("complaint_argument_source", "outcome_evidence")},
+        "verified_issue_known": if_verified(F.col("issue_type").isin(ISSUE_TYPES)), "verified_is_upheld": if_verified(F.col("outcome") == "upheld"), "verified_no_bylaw": if_verified(~F.coalesce("relies_on_bylaw", F.lit(False))),
+        "verified_has_norms": if_verified(F.size(norms) > 0), "evidence_is_of_norms": if_verified((F.size(F.array_except(norms, covered)) == 0) & (F.size(F.array_except(covered, norms)) == 0)),
+        "verified_has_no_reason": if_verified(F.size(reasons) == 0), "verified_is_no_duplicate": if_verified(~duplicate), "other_has_reason": status.eqNullSafe("verified") | (F.size(reasons) > 0),
+        "duplicate_says_so": ~duplicate | F.array_contains(reasons, "duplicate_case"),
+        "source_span": span_is_sound(F.col("complaint_argument_source")), "outcome_span": span_is_sound(F.col("outcome_evidence")),
+    }
+
+
+def rule_report(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, cases, broken) for every rule, those that nothing breaks too, in one pass."""
+    counts = rows.agg(F.count("*").alias("cases"), *(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))
+    return counts.select("cases", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("broken")) for n in rules))).alias("r")).select("r.rule", "cases", "r.broken")
+
+
+def draft_refusals(drafts: DataFrame, fragments: DataFrame, norms: DataFrame, chunks: DataFrame, least: int = 20) -> DataFrame:
+    """(request_id, reason, doc_quote, doc_start, doc_end, norm_quote): the first rule that each draft breaks, or its checked quotes.
+
+    ``drafts``: request_id, edition_id, decision, remark_text, source_fragment_id, doc_span_id, norm_chunk_id, norm_id, norm_span_id; ``fragments``: request_id, fragment_id, role,
+    char_start, char_end, text, source_text; ``norms``: norm_id, edition_id, is_repealed, text; ``chunks``, the evidence shown: request_id, chunk_id, norm_ids, text.
+    A null member of a draft is a missing one.
+    """
+    from spanforge.functions.quotes import contains_quote, quote_candidates
+
+    f = fragments.select("request_id", F.col("fragment_id").alias("source_fragment_id"), F.lit(True).alias("_f"), "role", "char_start", F.col("text").alias("_ft"), F.substring("source_text", 1, 1 << 30).alias("_st"), "char_end")
+    n = norms.select("norm_id", F.col("edition_id").alias("_ne"), F.coalesce("is_repealed", F.lit(False)).alias("_nr"), F.col("text").alias("_nt"))
+    c = chunks.select("request_id", F.col("chunk_id").alias("norm_chunk_id"), "norm_ids", F.col("text").alias("_ct"))
+    rows = drafts.join(f, ["request_id", "source_fragment_id"], "left").join(n, "norm_id", "left").join(c, ["request_id", "norm_chunk_id"], "left")
+    named = lambda text, span: F.get(F.filter(quote_candidates(F.col(text)), lambda s: s["span_id"] == F.col(span)), F.lit(0))
+    rows = rows.withColumn("_ds", named("_ft", "doc_span_id")).withColumn("_ns", named("_ct", "norm_span_id"))
+    at = F.col("char_start") + F.col("_ds.char_start")
+    whole = lambda col: F.length(F.trim(col)) > 0
+    reason = first_refusal([
+        ("model_abstained", F.col("decision") == "remark"), ("incomplete_remark", whole("remark_text") & whole("source_fragment_id") & whole("norm_id")), ("unknown_source_fragment", F.col("_f")),
+        ("doc_quote_not_claim_evidence", F.col("role") == "claim"), ("doc_span_not_in_fragment", F.col("_ds").isNotNull()), ("source_changed", F.col("_st").substr(F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) == F.col("_ft")),
+        ("doc_quote_not_in_source", F.col("_st").substr(at + 1, F.length("_ds.text")) == F.col("_ds.text")), ("unknown_or_wrong_edition_norm", (F.col("_ne") == F.col("edition_id")) & ~F.col("_nr")),
+        ("norm_not_exposed", F.array_contains("norm_ids", F.col("norm_id"))), ("norm_span_not_in_evidence", F.col("_ns").isNotNull()), ("quote_too_short", F.least(F.length(F.trim("_ds.text")), F.length(F.trim("_ns.text"))) >= least),
+        ("norm_quote_not_in_unit", contains_quote(F.col("_ns.text"), F.col("_nt"))), ("norm_quote_not_in_evidence", F.col("_ct").substr(F.col("_ns.char_start") + 1, F.length("_ns.text")) == F.col("_ns.text")),
+    ])
+    kept = lambda x, name: F.when(F.col("reason").isNull(), x).alias(name)
+    return rows.withColumn("reason", reason).select("request_id", "reason", kept(F.col("_ds.text"), "doc_quote"), kept(at, "doc_start"), kept(at + F.length("_ds.text"), "doc_end"), kept(F.col("_ns.text"), "norm_quote"))
 
 
 def missing_references(rows: DataFrame, key: str, ids: str, known: DataFrame, known_id: str) -> DataFrame:

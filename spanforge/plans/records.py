@@ -13,7 +13,7 @@ from spanforge.session import secret, table
 
 CASE_COLUMNS = [
     "edition_id", "topic", "split", "outcome", "complaint_argument_raw", "complaint_argument_blind", "complaint_argument_source", "gold_norms", "gold_evidence",
-    "outcome_evidence", "annotation_status", "exclusion_reasons", "case_group_id", "issue_type", "notice_date", "doc_fragment",
+    "outcome_evidence", "annotation_status", "exclusion_reasons", "case_group_id", "issue_type", "notice_date", "doc_fragment", "relies_on_bylaw", "duplicate_of",
 ]
 
 
@@ -30,10 +30,10 @@ def law_stats(s, d):
 
 
 def unit_id_check(s, d):
-    """Units whose id is not the one that its parts make."""
+    """Per level, the units and those whose id is not the one that its parts make."""
     law = F.split("norm_id", ":")[0]
     built = ids.make_norm_id(law, F.col("edition_id"), F.col("article"), F.col("part"), F.col("point"))
-    return units(s, d).withColumn("built", built).filter("built <> norm_id").select("norm_id", "built")
+    return units(s, d).groupBy("unit_level").agg(F.count("*").alias("units"), F.count_if(~built.eqNullSafe(F.col("norm_id"))).alias("wrong"), F.max(built).alias("last_id"))
 
 
 def unit_lineage(s, d):
@@ -45,11 +45,15 @@ def unit_lineage(s, d):
 
 
 def case_rule_report(s, d):
-    return validation.broken_rules(cases(s, d), "case_id", validation.case_rules()).groupBy("rule").agg(F.count("*").alias("cases"))
+    return validation.rule_report(cases(s, d), validation.case_rules())
 
 
 def missing_norms(s, d):
-    return validation.missing_references(cases(s, d).filter("annotation_status = 'verified'"), "case_id", "gold_norms", table(s, d, "norm_units"), "norm_id")
+    """Per status: the gold ids of its cases, and those that no edition has as they are written or in upper case (none is, so that a fault shows)."""
+    c = cases(s, d).select("case_id", "annotation_status", F.array_union("gold_norms", F.transform("gold_norms", F.upper)).alias("gold_norms"))
+    missing = validation.missing_references(c, "case_id", "gold_norms", table(s, d, "norm_units"), "norm_id").groupBy("key").agg(F.count("*").alias("n"))
+    rows = c.join(missing.withColumnRenamed("key", "case_id"), "case_id", "left")
+    return rows.groupBy("annotation_status").agg(F.sum(F.coalesce(F.size("gold_norms"), F.lit(0))).alias("wanted"), F.coalesce(F.sum("n"), F.lit(0)).alias("missing"))
 
 
 def split_groups(s, d):
@@ -176,18 +180,21 @@ ep AS (SELECT law_id, edition_id, start, coalesce(lead(start) OVER (PARTITION BY
 _CITES = r"(^|[^\p{L}\p{N}_])(стат(ья|ьи|ье|ью|ьёй|ей)|ст\.?|част(ь|и|ью)|ч\.?|пункт(а|е|ом|ы)?|п\.?)[\s\x{a0}]*\d+"
 _SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPAN = "({0} IS NULL OR coalesce({0}.char_start >= 0 AND {0}.char_end > {0}.char_start AND length({0}.quote) = {0}.char_end - {0}.char_start, false))"
+_N, _R, _E = "coalesce(gold_norms, [])", "coalesce(exclusion_reasons, [])", "list_transform(coalesce(gold_evidence, []), lambda g: g.norm_id)"
+_IF = "(annotation_status IS DISTINCT FROM 'verified' OR coalesce({0}, false))"
+_UNIQUE = "len(list_distinct({0})) = len({0})"
+_DUPLICATE = "coalesce(length(trim(duplicate_of)) > 0, false)"
+_LABELS = ", ".join(f"'{x}'" for x in validation.ISSUE_TYPES)
 _RULES = {
-    "norms_unique": "len(list_distinct(coalesce(gold_norms, []))) = len(coalesce(gold_norms, []))",
-    "reasons_unique": "len(list_distinct(coalesce(exclusion_reasons, []))) = len(coalesce(exclusion_reasons, []))",
-    "verified_has_norms": "(annotation_status IS DISTINCT FROM 'verified' OR len(coalesce(gold_norms, [])) > 0)",
-    "verified_has_argument": "(annotation_status IS DISTINCT FROM 'verified' OR coalesce(length(trim(complaint_argument_raw)) > 0, false))",
-    "verified_has_no_reason": "(annotation_status IS DISTINCT FROM 'verified' OR len(coalesce(exclusion_reasons, [])) = 0)",
-    "excluded_has_reason": "(annotation_status IS DISTINCT FROM 'excluded' OR len(coalesce(exclusion_reasons, [])) > 0)",
-    "evidence_covers_norms": "(annotation_status IS DISTINCT FROM 'verified' OR len(list_filter(coalesce(gold_norms, []), lambda n: NOT list_contains(list_transform(coalesce(gold_evidence, []), lambda g: g.norm_id), n))) = 0)",
-    "source_span": _SPAN.format("complaint_argument_source"),
-    "outcome_span": _SPAN.format("outcome_evidence"),
-    "known_status": "coalesce(annotation_status IN ('draft', 'verified', 'excluded'), false)",
-}
+    "known_status": "coalesce(annotation_status IN ('draft', 'verified', 'excluded'), false)", "norms_unique": _UNIQUE.format(_N), "reasons_unique": _UNIQUE.format(_R), "evidence_unique": _UNIQUE.format(_E),
+    **{f"verified_has_{c}": _IF.format(f"length(trim({c})) > 0") for c in ("complaint_argument_raw", "complaint_argument_blind", "notice_date", "issue_type")},
+    **{f"verified_has_{c}": _IF.format(f"{c} IS NOT NULL") for c in ("complaint_argument_source", "outcome_evidence")},
+    "verified_issue_known": _IF.format(f"issue_type IN ({_LABELS})"), "verified_is_upheld": _IF.format("outcome = 'upheld'"), "verified_no_bylaw": _IF.format("NOT coalesce(relies_on_bylaw, false)"),
+    "verified_has_norms": _IF.format(f"len({_N}) > 0"), "evidence_is_of_norms": _IF.format(f"len(list_filter({_N}, lambda n: NOT list_contains({_E}, n))) + len(list_filter({_E}, lambda n: NOT list_contains({_N}, n))) = 0"),
+    "verified_has_no_reason": _IF.format(f"len({_R}) = 0"), "verified_is_no_duplicate": _IF.format(f"NOT {_DUPLICATE}"), "other_has_reason": f"(annotation_status IS NOT DISTINCT FROM 'verified' OR len({_R}) > 0)",
+    "duplicate_says_so": f"(NOT {_DUPLICATE} OR list_contains({_R}, 'duplicate_case'))",
+    "source_span": _SPAN.format("complaint_argument_source"), "outcome_span": _SPAN.format("outcome_evidence"),
+}
 
 SQL = {
     "citation_flags": _EC + rf"SELECT case_id, regexp_matches(lower(complaint_argument_blind), '{_CITES}') AS cites, len(list_distinct(regexp_extract_all(lower(complaint_argument_blind), '[\p{{L}}\p{{Nd}}\p{{M}}\p{{Pc}}]+'))) >= 100 AS long, complaint_argument_blind = coalesce(complaint_argument_raw, '') AS same_as_raw FROM ec WHERE complaint_argument_blind IS NOT NULL",
@@ -202,10 +209,10 @@ SQL = {
         y AS (SELECT doc_id, n, CASE WHEN whole THEN i ELSE i + length(head) END AS a, CASE WHEN whole THEN t ELSE body END AS piece FROM x WHERE length(body) > 0)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS place, a AS char_start, a + length(piece) AS char_end, piece FROM y""",
     "law_stats": _EC + "SELECT split_part(norm_id, ':', 1) AS law_id, count_if(unit_level = 'article') AS articles, count_if(unit_level = 'part') AS parts, count_if(unit_level = 'point') AS points, count_if(is_repealed) AS repealed, count_if(is_retrieval_unit) AS retrieval_units, sum(length(text)) AS chars FROM nu GROUP BY 1",
-    "unit_id_check": _EC + "SELECT norm_id, built FROM (SELECT norm_id, concat_ws(':', split_part(norm_id, ':', 1), edition_id, 'art.' || article, 'ch.' || part, CASE WHEN part IS NOT NULL THEN 'p.' || point END) AS built FROM nu) WHERE built <> norm_id",
+    "unit_id_check": _EC + "SELECT unit_level, count(*) AS units, count_if(built IS DISTINCT FROM norm_id) AS wrong, max(built) AS last_id FROM (SELECT norm_id, unit_level, concat_ws(':', split_part(norm_id, ':', 1), edition_id, 'art.' || article, 'ch.' || part, CASE WHEN part IS NOT NULL THEN 'p.' || point END) AS built FROM nu) GROUP BY unit_level",
     "unit_lineage": _EC + "SELECT unit_level, count(*) AS units, count(parent_norm_id) AS with_parent_id, count(CASE WHEN parent_norm_id IN (SELECT norm_id FROM nu) THEN 1 END) AS with_parent_row FROM nu GROUP BY unit_level",
-    "case_rule_report": _EC + "SELECT rule, count(*) AS cases FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule FROM ec WHERE NOT {c}" for n, c in _RULES.items()) + ") GROUP BY rule",
-    "missing_norms": _EC + "SELECT DISTINCT key, missing FROM (SELECT case_id AS key, unnest(gold_norms) AS missing FROM ec WHERE annotation_status = 'verified') WHERE missing IS NOT NULL AND missing NOT IN (SELECT norm_id FROM norm_units)",
+    "case_rule_report": _EC + " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS cases, count_if(NOT {c}) AS broken FROM ec" for n, c in _RULES.items()),
+    "missing_norms": _EC + ", w AS (SELECT case_id, annotation_status, list_distinct(list_concat(gold_norms, list_transform(gold_norms, lambda n: upper(n)))) AS g FROM ec), m AS (SELECT DISTINCT case_id, n FROM (SELECT case_id, unnest(g) AS n FROM w) WHERE n NOT IN (SELECT norm_id FROM norm_units)) SELECT annotation_status, CAST(sum(coalesce(len(g), 0)) AS BIGINT) AS wanted, (SELECT count(*) FROM m JOIN ec USING (case_id) WHERE ec.annotation_status IS NOT DISTINCT FROM w.annotation_status) AS missing FROM w GROUP BY annotation_status",
     "split_groups": _EC + "SELECT case_group_id AS group_id, count(DISTINCT split) AS splits, count(*) AS cases FROM ec WHERE case_group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "split_policy": _EC + "SELECT CAST(sum(n) AS BIGINT) AS cases, CAST(sum(e) AS BIGINT) AS eval_cases, CAST(round_even(sum(n) * 0.3::DOUBLE, 0) AS BIGINT) AS wanted, count_if(n >= 2 AND (e = 0 OR d = 0)) AS uneven_topics FROM (SELECT topic, count_if(split = 'eval') AS e, count_if(split = 'dev') AS d, count(*) AS n FROM ec GROUP BY topic)",
     "edition_at_notice": _EC + "SELECT case_id, x.law_id, day, edition_id AS edition_in_force FROM (SELECT DISTINCT case_id, day, split_part(n, ':', 1) AS law_id FROM (SELECT case_id, strftime(try_cast(notice_date AS DATE), '%Y-%m-%d') AS day, unnest(gold_norms) AS n FROM ec WHERE try_cast(notice_date AS DATE) IS NOT NULL)) x JOIN ep ON ep.law_id = x.law_id AND start <= day AND day < until",

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.operators import corpus, evaluation, release
+from spanforge.operators import corpus, evaluation, release, validation
 from spanforge.sources import catalog
 
 
@@ -158,3 +158,39 @@ def test_redactions_fragments_publishing_and_state(spark, tmp_path):
     assert rows(catalog.crawl_rollup(meta), "status", "items", "documents", "ready") == [("done", 2, 2, 1), ("error", 1, 0, 0)]
     placed = catalog.numbered_places(spark.range(100).select((F.lit(99) - F.col("id")).alias("x")), "x")
     assert rows(placed, "pos", "x") == [(i, i) for i in range(100)]
+
+
+def test_refusals_of_drafts(spark):
+    claim, law = "Заказчик не указал срок поставки товара в извещении.", "Извещение должно содержать срок поставки товара и цену контракта."
+    good = ["e1", "remark", "Нарушен срок", "f1", "s0", "k1", "n1", "s0"]
+    changes = {
+        None: {}, "model_abstained": {1: "abstain"}, "incomplete_remark": {2: " "}, "unknown_source_fragment": {3: "f9"}, "doc_quote_not_claim_evidence": {3: "f2"}, "doc_span_not_in_fragment": {4: "s7"}, "source_changed": {3: "f3"},
+        "unknown_or_wrong_edition_norm": {0: "e2"}, "norm_not_exposed": {5: "k2"}, "norm_span_not_in_evidence": {7: "s9"}, "quote_too_short": {5: "k3"}, "norm_quote_not_in_unit": {5: "k4"},
+    }
+    rows = [(str(reason), *[change.get(i, v) for i, v in enumerate(good)]) for reason, change in changes.items()]
+    drafts = spark.createDataFrame(rows, "request_id string, edition_id string, decision string, remark_text string, source_fragment_id string, doc_span_id string, norm_chunk_id string, norm_id string, norm_span_id string")
+    ids = [r[0] for r in rows]
+    source = "До. " + claim
+    fragments = spark.createDataFrame([(i, f, role, 4, 4 + len(claim), text, source) for i in ids for f, role, text in (("f1", "claim", claim), ("f2", "context", claim), ("f3", "claim", claim.upper()))], "request_id string, fragment_id string, role string, char_start int, char_end int, text string, source_text string")
+    norms = spark.createDataFrame([("n1", "e1", None, "1. " + law)], "norm_id string, edition_id string, is_repealed boolean, text string")
+    chunks = spark.createDataFrame([(i, k, [n], t) for i in ids for k, n, t in (("k1", "n1", law), ("k2", "n5", law), ("k3", "n1", "срок поставки"), ("k4", "n1", "Совсем другой текст без связи с нормой."))], "request_id string, chunk_id string, norm_ids array<string>, text string")
+    got = {r["request_id"]: r for r in validation.draft_refusals(drafts, fragments, norms, chunks).collect()}
+    assert {k: r["reason"] for k, r in got.items()} == {str(k): k for k in changes}
+    assert (got["None"]["doc_quote"], got["None"]["doc_start"], got["None"]["doc_end"], got["None"]["norm_quote"]) == (claim, 4, 4 + len(claim), law)
+
+
+def test_rules_of_cases_are_each_broken_once(spark):
+    span = ("p", 0, 2, "аб", None)
+    good = dict(annotation_status="verified", gold_norms=["n"], exclusion_reasons=[], gold_evidence=[("n", span)], complaint_argument_raw="а", complaint_argument_blind="а", notice_date="2020-01-01", issue_type="other", outcome="upheld", relies_on_bylaw=False, duplicate_of=None, complaint_argument_source=span, outcome_evidence=span)
+    bad = {
+        "known_status": dict(annotation_status="x", exclusion_reasons=["r"]), "norms_unique": dict(gold_norms=["n", "n"]), "reasons_unique": dict(annotation_status="draft", exclusion_reasons=["r", "r"]), "evidence_unique": dict(gold_evidence=[("n", span)] * 2),
+        "verified_has_notice_date": dict(notice_date=None), "verified_has_outcome_evidence": dict(outcome_evidence=None), "verified_issue_known": dict(issue_type="new"), "verified_is_upheld": dict(outcome="rejected"), "verified_no_bylaw": dict(relies_on_bylaw=True),
+        "evidence_is_of_norms": dict(gold_norms=["n", "m"]), "verified_has_no_reason": dict(exclusion_reasons=["r"]), "other_has_reason": dict(annotation_status="draft"), "duplicate_says_so": dict(annotation_status="draft", exclusion_reasons=["r"], duplicate_of="d"),
+        "source_span": dict(complaint_argument_source=("p", 2, 1, "а", None)),
+    }
+    of = "struct<path:string,char_start:int,char_end:int,quote:string,note:string>"
+    schema = f"key string, annotation_status string, gold_norms array<string>, exclusion_reasons array<string>, gold_evidence array<struct<norm_id:string,decision_span:{of}>>, complaint_argument_raw string, complaint_argument_blind string, notice_date string, issue_type string, outcome string, relies_on_bylaw boolean, duplicate_of string, complaint_argument_source {of}, outcome_evidence {of}"
+    df = spark.createDataFrame([("good", *good.values()), *((k, *(good | v).values()) for k, v in bad.items())], schema)
+    assert rows(validation.broken_rules(df, "key", validation.case_rules()), "key", "rule") == sorted((k, k) for k in bad)
+    report = {r["rule"]: r["broken"] for r in validation.rule_report(df, validation.case_rules()).collect()}
+    assert report["norms_unique"] == 1 and report["outcome_span"] == 0 and len(report) == len(validation.case_rules())
