@@ -205,6 +205,13 @@ _STAGES = (("pj", "1 retrieved", "item", ""), ("sq", "2 shortlist", "item", ""),
 _HAS = "(query_id, article) IN (SELECT query_id, {2} FROM {0}{3})"
 
 SQL = {
+    # Every chunk of the project's table lies in one article, so that an article's cap is a rank within it.
+    "evidence_pack": BASE + f""", {_map("sq", "c8", 8)}, pk AS (SELECT c8.query_id, c8.article, c8.item, sq.rank AS ar, score, row_number() OVER (PARTITION BY c8.query_id, c8.article ORDER BY score DESC, c8.item) AS within, dense_rank() OVER (PARTITION BY c8.query_id ORDER BY sq.rank) AS dr
+        FROM c8 JOIN md ON md.query_id = c8.query_id AND md.item = c8.item JOIN sq ON sq.query_id = c8.query_id AND sq.item = c8.article),
+        ld AS (SELECT query_id, item, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY ar) AS n FROM pk WHERE within = 1 AND dr <= 5),
+        rs AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY score DESC, ar, within, item) AS k FROM pk WHERE NOT (within = 1 AND dr <= 5)),
+        mo AS (SELECT query_id, item, 1 AS part, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ar, within, item) AS n FROM rs WHERE k <= CASE WHEN dr <= 5 THEN 1 ELSE 2 END)
+        SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, n) AS rank FROM (SELECT * FROM ld UNION ALL SELECT * FROM mo)) WHERE rank <= 10""",
     "article_evidence": BASE + f", {_ONE} SELECT * FROM (SELECT query_id, article, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item, article) AS rank FROM bo) WHERE rank <= 10",
     "best_chunks_once": BASE + f", {_ONE}, z AS ({_ONCE.format('score DESC, article, item', 'bo')}) SELECT * FROM z WHERE rank <= 10",
     "best_chunks_in_order": BASE + f", {_ONE}, o AS (SELECT bo.query_id, bo.item, sq.rank AS place FROM bo JOIN sq ON sq.query_id = bo.query_id AND sq.item = bo.article), z AS ({_ONCE.format("place", "o")}) SELECT * FROM z WHERE rank <= 10",

@@ -197,6 +197,15 @@ _RULES = {
 }
 
 SQL = {
+    "page_units": r"""WITH b AS (SELECT block_id, any_value(page_id) AS page_id, any_value(block_order) AS o, any_value(text) AS t FROM blocks GROUP BY block_id),
+        a AS (SELECT *, nullif(regexp_extract(coalesce(t, ''), '^Статья\s+(\d+(?:\.\d+)?)\.?\s*(.*)$', 1), '') AS art, coalesce(regexp_matches(t, '^Глава\s+\d+'), false) AS ch FROM b),
+        c AS (SELECT *, CASE WHEN ch THEN '' ELSE art END AS op FROM a),
+        d AS (SELECT *, count(op) OVER w AS an, nullif(last_value(op IGNORE NULLS) OVER w, '') AS article FROM c WINDOW w AS (PARTITION BY page_id ORDER BY o, block_id)),
+        e AS (SELECT *, CASE WHEN article IS NOT NULL AND art IS NULL THEN nullif(regexp_extract(t, '^(\d+(?:\.\d+)?)\.\s', 1), '') END AS p0, CASE WHEN article IS NOT NULL AND art IS NULL THEN nullif(regexp_extract(t, '^(\d+(?:\.\d+)?)\)\s', 1), '') END AS q0 FROM d),
+        f AS (SELECT *, count(p0) OVER w AS pn, last_value(p0 IGNORE NULLS) OVER w AS p1 FROM e WINDOW w AS (PARTITION BY page_id, an ORDER BY o, block_id)),
+        g AS (SELECT *, last_value(q0 IGNORE NULLS) OVER (PARTITION BY page_id, an, pn ORDER BY o, block_id) AS point FROM f),
+        h AS (SELECT page_id, article, point, CASE WHEN p1 IS NULL AND point IS NOT NULL THEN '0' ELSE p1 END AS part FROM g WHERE article IS NOT NULL)
+        SELECT page_id, count(DISTINCT article) AS articles, count(DISTINCT CASE WHEN part IS NOT NULL THEN article || '|' || part END) AS parts, count(DISTINCT CASE WHEN point IS NOT NULL THEN article || '|' || part || '|' || point END) AS points FROM h GROUP BY page_id""",
     "citation_flags": _EC + rf"SELECT case_id, regexp_matches(lower(complaint_argument_blind), '{_CITES}') AS cites, len(list_distinct(regexp_extract_all(lower(complaint_argument_blind), '[\p{{L}}\p{{Nd}}\p{{M}}\p{{Pc}}]+'))) >= 100 AS long, complaint_argument_blind = coalesce(complaint_argument_raw, '') AS same_as_raw FROM ec WHERE complaint_argument_blind IS NOT NULL",
     "release_labels": _EC + r"""SELECT case_id, split, CASE WHEN split <> 'eval' THEN issue_type END AS issue_type, CASE WHEN split <> 'eval' THEN outcome END AS outcome,
         length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(doc_fragment, chr(160), ' '), '\r\n?', chr(10), 'g'), '[ \t\f\x{0b}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS fragment_chars FROM ec""",
