@@ -180,3 +180,20 @@ def group_bootstrap(rows: DataFrame, group: str, baseline: str, candidate: str,
     means.sort()
     mean = sum(r["d"] for r in sums) / sum(r["n"] for r in sums)
     return mean, means[int(0.025 * (samples - 1))], means[int(0.975 * (samples - 1))]
+
+
+def hashed_bootstrap(rows: DataFrame, group: str, baseline: str, candidate: str, samples: int = 2000) -> DataFrame:
+    """One row (groups, mean_delta, low, high), rounded to six places, as ``group_bootstrap`` but with draws by digest, so that executors draw.
+
+    The j-th draw of sample s is the group whose number, in the order of names, is the first 32 bits of md5("s|j") modulo their count.  No groups give no row.
+    """
+    spark = rows.sparkSession
+    sums = rows.groupBy(F.col(group).cast("string").alias("g")).agg(F.sum(F.col(candidate) - F.col(baseline)).alias("d"), F.count("*").alias("n"))
+    numbered = sums.withColumn("i", (F.row_number().over(Window.orderBy("g")) - 1).cast("long"))
+    size = F.broadcast(sums.agg(F.count("*").alias("size"), (F.sum("d") / F.sum("n")).alias("mean")).filter("size > 0"))
+    drawn = spark.range(samples).withColumnRenamed("id", "s").crossJoin(size).select("s", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("j"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "s", "j")), 1, 8), 16, 10).cast("long")
+    means = drawn.select("s", F.pmod(number, F.col("size")).alias("i")).join(numbered, "i").groupBy("s").agg((F.sum("d") / F.sum("n")).alias("m"))
+    ordered = means.agg(F.sort_array(F.collect_list("m")).alias("m"))
+    at = lambda q: F.round(F.get("m", F.lit(int(q * (samples - 1)))), 6)
+    return size.crossJoin(ordered).select(F.col("size").alias("groups"), F.round("mean", 6).alias("mean_delta"), at(0.025).alias("low"), at(0.975).alias("high"))

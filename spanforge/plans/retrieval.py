@@ -364,13 +364,21 @@ def budget_pack(s, d):
     return evidence.budget_pack(rows, 4000)
 
 
-def bootstrap_interval(s, d):
-    """Article recall of the set cosine against BM25, groups of cases resampled."""
+def _paired_recall(s, d) -> DataFrame:
     b = base(s, d)
     one = metrics.score_cases(b.gold, b.retrieved(b.bm25(10)), 10).select("query_id", F.col("article").alias("base"))
     two = metrics.score_cases(b.gold, b.retrieved(b.cosine(10)), 10).select("query_id", F.col("article").alias("cand"))
-    rows = one.join(two, "query_id").join(b.chosen.select(F.col("case_id").alias("query_id"), F.coalesce("case_group_id", "case_id").alias("g")), "query_id")
-    return s.createDataFrame([metrics.group_bootstrap(rows, "g", "base", "cand")], "mean_delta double, low double, high double")
+    return one.join(two, "query_id").join(b.chosen.select(F.col("case_id").alias("query_id"), F.coalesce("case_group_id", "case_id").alias("g")), "query_id")
+
+
+def bootstrap_interval(s, d):
+    """Article recall of the set cosine against BM25, groups of cases resampled by a seeded generator."""
+    return s.createDataFrame([metrics.group_bootstrap(_paired_recall(s, d), "g", "base", "cand")], "mean_delta double, low double, high double")
+
+
+def bootstrap_draws(s, d):
+    """The same with draws by digest."""
+    return metrics.hashed_bootstrap(_paired_recall(s, d), "g", "base", "cand")
 
 
 QUERIES = {
@@ -379,6 +387,6 @@ QUERIES = {
         bm25_index, bm25_topk, bm25_terms, set_cosine_topk, dense_topk, rrf, weighted_rrf, article_projection, weighted_article_rrf, fuse_candidates, protected_shortlist,
         retrieval_bonus, quota_fusion, interleave, article_diversify, top_articles, article_then_points, select_evidence, source_quota, candidate_map, candidate_pool,
         best_chunks, neighbors, overlap_weighted, recall_by_topic, overlap_at_k, best_rank_bucket, complementarity, repeated_slots, gold_status, label_mapping,
-        leave_group_out, spearman, top_overlap, pareto, winner_tie_band, budget_winners, evidence_pack, adaptive_pack, diverse_selection, budget_pack, bootstrap_interval,
+        leave_group_out, spearman, top_overlap, pareto, winner_tie_band, budget_winners, evidence_pack, adaptive_pack, diverse_selection, budget_pack, bootstrap_interval, bootstrap_draws,
     )
 }

@@ -139,5 +139,10 @@ SQL = {
     "top_overlap": BASE + """SELECT query_id, round(len(list_intersect(l, r)) / CAST(least(10, len(l), len(r)) AS DOUBLE), 6) AS share FROM (SELECT query_id, list(item) AS l FROM bm WHERE rank <= 10 GROUP BY query_id) JOIN (SELECT query_id, list(item) AS r FROM cs WHERE rank <= 10 GROUP BY query_id) USING (query_id)""",
     "pareto": BASE + f""", {_EXPERIMENTS} SELECT * FROM ex a WHERE NOT EXISTS (SELECT 1 FROM ex b WHERE b.article >= a.article AND b.exact >= a.exact AND b.cost <= a.cost AND (b.article > a.article OR b.exact > a.exact OR b.cost < a.cost))""",
     "winner_tie_band": BASE + f""", {_EXPERIMENTS} SELECT * FROM ex WHERE (SELECT max(article) FROM ex) - article < 0.01 ORDER BY exact DESC, cost, name LIMIT 1""",
+    "bootstrap_draws": BASE + f""", b AS ({_score("rb", 10)}), t AS ({_score("rc", 10)}), g AS (SELECT coalesce(case_group_id, case_id) AS g, sum(t.article - b.article) AS d, count(*) AS n FROM b JOIN t USING (query_id) JOIN ec ON ec.case_id = query_id GROUP BY 1),
+        z AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS i FROM g), k AS (SELECT count(*) AS size, sum(d) / sum(n) AS mean FROM g),
+        w AS (SELECT s, CAST('0x' || substr(md5(s || '|' || j), 1, 8) AS BIGINT) % size AS i FROM k, (SELECT unnest(range(2000)) AS s), (SELECT unnest(range((SELECT size FROM k))) AS j)),
+        m AS (SELECT list(x ORDER BY x) AS m FROM (SELECT sum(d) / sum(n) AS x FROM w JOIN z USING (i) GROUP BY s))
+        SELECT size AS groups, round(mean, 6) AS mean_delta, round(m[50], 6) AS low, round(m[1950], 6) AS high FROM k, m""",
     "budget_winners": BASE + f""", {_EXPERIMENTS} SELECT budget, name, article, exact, cost FROM (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY article DESC, cost, name) AS n FROM (SELECT CAST(unnest([5, 10, 50]) AS BIGINT) AS budget) b JOIN ex ON cost <= budget) WHERE n = 1""",
 }
