@@ -6,8 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 # Quotation marks and hyphens that count as one character each.
 _KINDS = {'"': "«»“”„‟", "'": "‘’" + chr(0x2BC) + "`", "-": "‐‑‒–—−"}
@@ -81,3 +83,14 @@ def contains_quote(quote: Column, source: Column) -> Column:
     """Whether the quote is in the source, marks, hyphens and space folded, without leaving the JVM."""
     fold = lambda c: F.trim(F.regexp_replace(F.translate(c, "".join(_KINDS.values()), "".join(k * len(v) for k, v in _KINDS.items())), r"(?U)\s+", " "))
     return F.coalesce((F.length(fold(quote)) > 0) & F.contains(fold(source), fold(quote)), F.lit(False))
+
+
+def register_quote_spans(spark: SparkSession, name: str = "quote_spans") -> None:
+    """Makes the quotable spans of a text a table function of SQL: ``SELECT ... FROM t, LATERAL quote_spans(t.text)``; a null text has none."""
+
+    @udtf(returnType="span_id string, char_start int, char_end int, span string")
+    class QuoteSpans:
+        def eval(self, text: str):
+            yield from candidates(text)
+
+    spark.udtf.register(name, QuoteSpans)

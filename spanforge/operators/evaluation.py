@@ -254,3 +254,30 @@ def chain_winner(rows: DataFrame, chain: str, band: float = 0.01) -> DataFrame:
     best = F.broadcast(rows.agg(F.max("article").alias("_best")))
     near = rows.crossJoin(best).filter(F.col("_best") - F.col("article") < band).drop("_best")
     return near.orderBy(F.desc("exact"), F.desc("all_hit"), *WINNER_CHAINS[chain]).limit(1)
+
+
+def fusion_grid(rankings: DataFrame, grid: DataFrame, limit: int = 10) -> DataFrame:
+    """(spec, query_id, item, score, rank): weighted reciprocal ranks for every setting of a grid at once.
+
+    ``grid`` is (spec, source, k, weight), a list of settings and so small by nature; a source without a weight does not count.
+    Ties as in ``fusion.weighted_rrf``.
+    """
+    rows = rankings.join(F.broadcast(grid), "source")
+    fused = rows.groupBy("spec", "query_id", "item").agg(F.round(F.sum(F.col("weight") / (F.col("k") + F.col("rank"))), 9).alias("score"), F.min("rank").alias("_best"))
+    w = Window.partitionBy("spec", "query_id").orderBy(F.desc("score"), "_best", "item")
+    return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("_best")
+
+
+def grid_recall(gold: DataFrame, results: DataFrame) -> DataFrame:
+    """(spec, cases, article, all_hit): mean article recall of each setting's results (spec, query_id, item=article), and the share of cases with all."""
+    wanted = results.select("spec").distinct().crossJoin(gold.select("query_id", "article").distinct())
+    hits = wanted.join(results.select("spec", "query_id", F.col("item").alias("article"), F.lit(1).alias("_hit")).distinct(), ["spec", "query_id", "article"], "left")
+    per = hits.groupBy("spec", "query_id").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("r"))
+    return per.groupBy("spec").agg(F.count("*").alias("cases"), F.round(F.avg("r"), 6).alias("article"), F.round(F.avg((F.col("r") == 1).cast("int")), 6).alias("all_hit"))
+
+
+def pack_flags(gold: DataFrame, packed: DataFrame) -> DataFrame:
+    """(query_id, gold_in_pack, gold_article_in_pack) of packs (query_id, norm_id, article)."""
+    has = lambda level, name: gold.select("query_id", level).distinct().join(packed.select("query_id", level).distinct(), ["query_id", level], "left_semi").select("query_id", F.lit(True).alias(name)).distinct()
+    rows = gold.select("query_id").distinct().join(has("norm_id", "a"), "query_id", "left").join(has("article", "b"), "query_id", "left")
+    return rows.select("query_id", F.col("a").isNotNull().alias("gold_in_pack"), F.col("b").isNotNull().alias("gold_article_in_pack"))

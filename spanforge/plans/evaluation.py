@@ -169,11 +169,34 @@ def gold_coverage(s, d):
     return status.join(units.groupBy("norm_id").agg(F.min("chars").alias("chars")), "norm_id", "left").groupBy("status").agg(F.count("*").alias("golds"), F.min("chars").alias("shortest"))
 
 
+_GRID = [(k, b, c) for k in (10, 30, 60) for b, c in ((1.0, 1.0), (2.0, 1.0), (1.0, 2.0))]
+
+
+def fusion_grid(s, d):
+    """Article recall of nine settings of the weighted fusion."""
+    b = base(s, d)
+    rows = [(f"k{k} {w:g}:{c:g}", source, k, x) for k, w, c in _GRID for source, x in (("bm25", w), ("cosine", c))]
+    grid = s.createDataFrame(rows, "spec string, source string, k int, weight double")
+    return evaluation.grid_recall(b.gold, evaluation.fusion_grid(_projected(b), grid))
+
+
+def pack_flags(s, d):
+    from spanforge.plans.retrieval import evidence_pack
+
+    b = base(s, d)
+    return evaluation.pack_flags(b.gold, b.retrieved(evidence_pack(s, d)))
+
+
+def rank_histogram(s, d):
+    b = base(s, d)
+    return metrics.best_rank(b.gold, b.retrieved(b.bm25(100)), "norm_id").groupBy("bucket").agg(F.count("*").alias("cases"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         article_evidence, best_chunks_once, best_chunks_in_order, two_pass_shortlist, two_pass_rerank, two_pass_scored, article_chunk_fusion, evidence_scores, union_at_k, chunks_of_articles, overlay_mapping,
-        label_predictions, prediction_breakdown, first_loss, oracle_breakdown, paired_outcomes, outcomes_by_topic, wrong_routes, outside_share, score_quality, stage_recall, gold_coverage,
+        label_predictions, prediction_breakdown, first_loss, oracle_breakdown, paired_outcomes, outcomes_by_topic, wrong_routes, outside_share, score_quality, stage_recall, gold_coverage, fusion_grid, pack_flags, rank_histogram,
     )
 }
 
@@ -212,6 +235,13 @@ SQL = {
         rs AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY score DESC, ar, within, item) AS k FROM pk WHERE NOT (within = 1 AND dr <= 5)),
         mo AS (SELECT query_id, item, 1 AS part, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ar, within, item) AS n FROM rs WHERE k <= CASE WHEN dr <= 5 THEN 1 ELSE 2 END)
         SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, n) AS rank FROM (SELECT * FROM ld UNION ALL SELECT * FROM mo)) WHERE rank <= 10""",
+    "fusion_grid": BASE + ", g AS (SELECT * FROM (VALUES " + ", ".join(f"('k{k} {w:g}:{c:g}', {k}, {w}::DOUBLE, {c}::DOUBLE)" for k, w, c in _GRID) + """) t(spec, k, wb, wc)),
+        f AS (SELECT spec, query_id, item, round(sum(CASE source WHEN 'bm25' THEN wb ELSE wc END / (k + rank)), 9) AS score, min(rank) AS b FROM pj, g GROUP BY ALL),
+        r AS (SELECT spec, query_id, item FROM (SELECT *, row_number() OVER (PARTITION BY spec, query_id ORDER BY score DESC, b, item) AS rank FROM f) WHERE rank <= 10),
+        p AS (SELECT spec, query_id, avg(CAST((spec, query_id, article) IN (SELECT * FROM r) AS INT)) AS r FROM g, ga GROUP BY spec, query_id)
+        SELECT spec, count(*) AS cases, round(avg(r), 6) AS article, round(avg(CAST(r = 1 AS INT)), 6) AS all_hit FROM p GROUP BY spec""",
+    "rank_histogram": BASE + """SELECT CASE WHEN best <= 10 THEN '<=10' WHEN best <= 20 THEN '11-20' WHEN best <= 50 THEN '21-50' WHEN best <= 100 THEN '51-100' ELSE '>100' END AS bucket, count(*) AS cases
+        FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN (SELECT query_id, min(rank) AS best FROM rb JOIN gold USING (query_id, norm_id) GROUP BY query_id) USING (query_id) GROUP BY 1""",
     "article_evidence": BASE + f", {_ONE} SELECT * FROM (SELECT query_id, article, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item, article) AS rank FROM bo) WHERE rank <= 10",
     "best_chunks_once": BASE + f", {_ONE}, z AS ({_ONCE.format('score DESC, article, item', 'bo')}) SELECT * FROM z WHERE rank <= 10",
     "best_chunks_in_order": BASE + f", {_ONE}, o AS (SELECT bo.query_id, bo.item, sq.rank AS place FROM bo JOIN sq ON sq.query_id = bo.query_id AND sq.item = bo.article), z AS ({_ONCE.format("place", "o")}) SELECT * FROM z WHERE rank <= 10",
@@ -255,3 +285,6 @@ SQL = {
         st AS (SELECT w.norm_id, CASE WHEN bool_or(i.norm_id = w.norm_id) THEN 'exact' WHEN bool_or(starts_with(i.norm_id, w.norm_id || ':')) THEN 'descendant' WHEN bool_or(starts_with(w.norm_id, i.norm_id || ':')) THEN 'ancestor' ELSE 'absent' END AS status FROM w, i GROUP BY w.norm_id)
         SELECT status, count(*) AS golds, min(chars) AS shortest FROM st LEFT JOIN (SELECT norm_id, min(length(txt)) AS chars FROM un JOIN c USING (item) GROUP BY norm_id) USING (norm_id) GROUP BY status""",
 }
+SQL["pack_flags"] = SQL["evidence_pack"].replace("SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, n)", ", ep AS (SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, n)") + """),
+        pu AS (SELECT query_id, norm_id, article FROM ep JOIN un USING (item))
+        SELECT query_id, bool_or((query_id, norm_id) IN (SELECT query_id, norm_id FROM pu)) AS gold_in_pack, bool_or((query_id, article) IN (SELECT query_id, article FROM pu)) AS gold_article_in_pack FROM gold GROUP BY query_id"""

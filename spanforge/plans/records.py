@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,11 +164,41 @@ def privacy_audit(s, d):
     return anonymize.audit(cases(s, d), "case_id", ["complaint_argument_raw", "complaint_argument_blind", "doc_fragment"])
 
 
+def status_pivot(s, d):
+    """Cases of each topic by status, a column for each."""
+    c = cases(s, d).withColumn("topic", F.coalesce("topic", F.lit("")))
+    return c.groupBy("topic").pivot("annotation_status", ["verified", "draft", "excluded"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def quotable_spans(s, d):
+    """Per case, by a table function in SQL: whether the quotable spans of its argument stand where they say, in order and within their length."""
+    quotes.register_quote_spans(s)
+    cases(s, d).select("case_id", "complaint_argument_raw").createOrReplaceTempView("_quoted_cases")
+    spans = s.sql("SELECT case_id, complaint_argument_raw AS text, q.* FROM _quoted_cases, LATERAL quote_spans(complaint_argument_raw) q")
+    w = Window.partitionBy("case_id").orderBy(F.substring("span_id", 2, 10).cast("int"))
+    size = F.col("char_end") - F.col("char_start")
+    fits = (F.col("text").substr(F.col("char_start") + 1, size) == F.col("span")) & (F.coalesce(F.lag("char_end").over(w), F.lit(0)) <= F.col("char_start")) & ((size <= 200) | ~F.col("span").rlike(r"\s"))
+    return spans.withColumn("ok", fits).groupBy("case_id").agg(F.bool_and("ok").alias("sound"))
+
+
+def streamed_terms(s, d):
+    """(term, texts, occurrences) of all documents, from postings that a stream has kept up to date."""
+    from spanforge.session import shared_folder
+    from spanforge.streaming.postings import current_postings, maintain_postings
+
+    folder = f"{shared_folder(s)}/{s.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    schema = table(s, d, "documents").select("doc_id", "text").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    maintain_postings(stream, "doc_id", "text", f"{folder}/postings", f"{folder}/state").awaitTermination()
+    posted = current_postings(s.read.parquet(f"{folder}/postings"), "doc_id")
+    return posted.groupBy("term").agg(F.count("*").alias("texts"), F.sum("tf").alias("occurrences"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         law_stats, unit_id_check, unit_lineage, case_rule_report, missing_norms, split_groups, split_policy, edition_at_notice, citation_flags, public_ids, release_rows, release_labels,
-        manifest, chunk_faults, chunk_units, chunk_coverage, page_units, page_chunks, document_windows, quote_check, anonymized_cases, privacy_audit,
+        manifest, chunk_faults, chunk_units, chunk_coverage, page_units, page_chunks, document_windows, quote_check, anonymized_cases, privacy_audit, status_pivot, quotable_spans, streamed_terms,
     )
 }
 
@@ -197,6 +229,9 @@ _RULES = {
 }
 
 SQL = {
+    "status_pivot": _EC + "SELECT coalesce(topic, '') AS topic, " + ", ".join(f"count_if(annotation_status = '{x}') AS {x}" for x in ("verified", "draft", "excluded")) + " FROM ec GROUP BY 1",
+    "quotable_spans": _EC + "SELECT case_id, true AS sound FROM ec WHERE regexp_matches(complaint_argument_raw, '[\\p{L}\\p{N}]')",
+    "streamed_terms": "SELECT term, count(DISTINCT doc_id) AS texts, count(*) AS occurrences FROM (SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN ['_empty'] ELSE t END) AS term FROM (SELECT doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ё', 'е'), '[0-9a-zа-я]+') AS t FROM documents)) GROUP BY term",
     "page_units": r"""WITH b AS (SELECT block_id, any_value(page_id) AS page_id, any_value(block_order) AS o, any_value(text) AS t FROM blocks GROUP BY block_id),
         a AS (SELECT *, nullif(regexp_extract(coalesce(t, ''), '^Статья\s+(\d+(?:\.\d+)?)\.?\s*(.*)$', 1), '') AS art, coalesce(regexp_matches(t, '^Глава\s+\d+'), false) AS ch FROM b),
         c AS (SELECT *, CASE WHEN ch THEN '' ELSE art END AS op FROM a),
