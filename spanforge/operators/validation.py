@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +110,3 @@ def checksums(files: DataFrame, listed: DataFrame) -> DataFrame:
 def first_refusal(conditions: list[tuple[str, Column]]) -> Column:
     """The code of the first condition that is not met, in order; null where all are."""
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in conditions))
-
-
-def all_true(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -202,3 +202,12 @@ def numbered_places(rows: DataFrame, *order: str) -> DataFrame:
     inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_i")))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn("pos", F.col("_before") + F.col("_n") - 1).drop("_p", "_i", "_n", "_before")
+
+
+def complete_edition(blocks: DataFrame, least_article: int = 90) -> DataFrame:
+    """``blocks`` of a fetched edition; an error where no title of an article numbered ``least_article`` or higher is among them, as the page was cut then."""
+    number = F.regexp_extract("text", r"^Статья\s+(\d+)", 1).try_cast("int")
+    last = blocks.agg(F.max(number).alias("n")).first()["n"]
+    if last is None or last < least_article:
+        raise ValueError(f"the edition ends at article {last}")
+    return blocks

@@ -194,3 +194,28 @@ def test_rules_of_cases_are_each_broken_once(spark):
     assert rows(validation.broken_rules(df, "key", validation.case_rules()), "key", "rule") == sorted((k, k) for k in bad)
     report = {r["rule"]: r["broken"] for r in validation.rule_report(df, validation.case_rules()).collect()}
     assert report["norms_unique"] == 1 and report["outcome_span"] == 0 and len(report) == len(validation.case_rules())
+
+
+def test_small_helpers(spark):
+    from spanforge.functions import web
+    from spanforge.operators import caches
+    from spanforge.sources import extract
+
+    r = spark.createDataFrame([("a/b c", "до [[тело]] после", None)], "r string, t string, n string").select(
+        web.safe_revision(F.col("r")).alias("r"), web.between(F.col("t"), "[[", "]]").alias("b"), web.between(F.col("t"), "((", "]]").alias("none"), web.address("https://x.test/?a=%s", F.col("r")).alias("u"), web.address("https://x.test/?a=%s", F.col("n")).alias("un")
+    ).first()
+    assert r["r"] == "a_b_c" and (r["b"]["char_start"], r["b"]["char_end"]) == (3, 9) and r["none"] is None and r["u"] == "https://x.test/?a=a%2Fb+c" and r["un"] is None
+    assert extract.corrected_name("a.doc", b"%PDF-1", {"a.pdf"}) == "a_1.pdf" and extract.corrected_name("a.csv", b"1;2", set()) == "a.csv" and extract.corrected_name("b", b"%PDF", set()) == "b.pdf"
+    runs = spark.createDataFrame([(10.0, 5.0), (20.0, 10.0), (30.0, 15.0)], "b double, c double")
+    q = caches.latency_ratio(runs, "b", "c", 50).first()
+    assert (q["runs"], q["ratio"], q["low"], q["high"]) == (3, 0.5, 0.5, 0.5)
+    left, right = (spark.createDataFrame(x, "id int, t array<int>") for x in ([(1, [1, 2]), (2, [3])], [(1, [1, 2]), (3, [3])]))
+    assert tuple(caches.token_parity(left, right, "id", "t").first()) == (3, 1)
+    chunks = spark.createDataFrame([("a", "x", 0), ("b", "y", 1)], "id string, t string, pos int")
+    moved = chunks.withColumn("pos", 1 - F.col("pos"))
+    f = lambda df, p: caches.corpus_fingerprint(df, "id", "t", position=p).first()[0]
+    assert f(chunks, None) == f(moved, None) and f(chunks, "pos") != f(moved, "pos")
+    blocks = spark.createDataFrame([("Статья 91. О",), ("прочее",)], "text string")
+    assert catalog.complete_edition(blocks).count() == 2
+    with pytest.raises(ValueError):
+        catalog.complete_edition(blocks, 95)
