@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.words import within, words
+from spanforge.llm.words import cached_words, within
 from spanforge.operators.joins import lookup
 from spanforge.session import cut
 
@@ -39,16 +39,31 @@ LIST_PART = 4000
 MOST_BROADCAST = 100_000
 
 
-def _pair_hashes(tokens: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(tokens, tokens[1:])], dtype=np.uint64)
+_KNOWN_WORDS = 400_000
 
 
-def _bitmap(tokens: list[str]) -> list[int]:
-    bits = [0] * BITMAP_LONGS
-    for w in set(tokens):
-        h = xxhash.xxh3_64_intdigest(w, seed=7) % (64 * BITMAP_LONGS)
-        bits[h >> 6] |= 1 << (h & 63)
-    return [b - (1 << 64) if b >> 63 else b for b in bits]
+def _word_hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` keeps those of words seen before and is emptied when it is large."""
+    if len(known) > _KNOWN_WORDS:
+        known.clear()
+    for w in tokens:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def _pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, in their order."""
+    mixed = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each distinct word, by its hash."""
+    bits = np.zeros(64 * BITMAP_LONGS, dtype=np.uint8)
+    bits[(hashes >> np.uint64(8)) % np.uint64(64 * BITMAP_LONGS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def text_classes(records: DataFrame, key: str, side: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -59,8 +74,9 @@ def text_classes(records: DataFrame, key: str, side: str, text: str) -> tuple[Da
     key_type, side_type = records.schema[key].dataType.simpleString(), records.schema[side].dataType.simpleString()
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
         for b in batches:
-            folded = [" ".join(words(t)) if t is not None else "" for t in b["text"]]
+            folded = [" ".join(cached_words(t, known)) if t is not None else "" for t in b["text"]]
             ids = [hashlib.blake2b(t.encode(), digest_size=12).hexdigest() if t else None for t in folded]
             yield pd.DataFrame({"key": b["key"], "side": b["side"], "class_id": ids, "words": folded})[[i is not None for i in ids]]
 
@@ -79,9 +95,10 @@ def _slot_table(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
+        known: dict[str, int] = {}
         for b in batches:
             for side, t in zip(b["side"], b["words"]):
-                slots, times = np.unique(_pair_hashes(t.split()), return_counts=True)
+                slots, times = np.unique(_pair_hashes(_word_hashes(t.split(), known)), return_counts=True)
                 slots = (slots % COUNT_SLOTS).astype(np.int64)
                 if side not in total:
                     total[side] = np.zeros((2, COUNT_SLOTS), dtype=np.int32)
@@ -118,13 +135,15 @@ def _postings(classes: DataFrame, share: float) -> DataFrame:
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, owner, most, total = table.value
+        known: dict[str, int] = {}
         for b in batches:
             lengths, bitmaps, bounds = np.zeros(len(b), dtype=np.int32), np.zeros((len(b), BITMAP_LONGS), dtype=np.int64), np.zeros(len(b))
             entries: list[tuple] = [(np.empty(0, dtype=np.int64),) + (np.empty(0),) * 2]
             many = np.zeros(len(b), dtype=np.int64)
             for i, (side_id, text) in enumerate(zip(b["side_id"], b["words"])):
                 tokens = text.split()
-                terms, tf = np.unique(_pair_hashes(tokens), return_counts=True)
+                hashes = _word_hashes(tokens, known)
+                terms, tf = np.unique(_pair_hashes(hashes), return_counts=True)
                 slots = (terms % COUNT_SLOTS).astype(np.int64)
                 order = np.lexsort((terms, counts[slots]))
                 terms, tf, slots = terms[order].astype(np.int64), tf[order], slots[order]
@@ -141,7 +160,7 @@ def _postings(classes: DataFrame, share: float) -> DataFrame:
                     continue
                 norms = np.sqrt(np.concatenate([np.cumsum((rarity * tf * (other > 0))[::-1])[::-1], [0.0]]))
                 kept = np.flatnonzero((after[:-1] >= least - 1e-6) & (other > 0))
-                lengths[i], bitmaps[i], bounds[i], many[i] = len(tokens), _bitmap(tokens), least, len(kept)
+                lengths[i], bitmaps[i], bounds[i], many[i] = len(tokens), _bitmap(hashes), least, len(kept)
                 entries.append((terms[kept], np.sqrt(rarity * tf)[kept], norms[kept + 1]))
             term, own, rest = (np.concatenate(x) for x in zip(*entries))
             of = np.repeat(np.arange(len(b)), many)

@@ -278,8 +278,8 @@ def leaked_items(
     and empty texts hold nothing.  Repeated rows yield repeated results.  Where both ids have one name, the item's gets the
     prefix item_.
 
-    The items are the query set: they are broadcast in blocks of at most ``block_chars`` characters, one pass over the
-    documents for each block, so that what is broadcast never grows with the data.  Documents are not shuffled.
+    The items are the query set: they are broadcast in blocks of at most ``block_chars`` characters, of which a worker holds one at
+    a time; a block is built on the driver.  The documents are read once, whatever the number of blocks, and are not shuffled.
     """
     key_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     spark = documents.sparkSession
@@ -287,19 +287,21 @@ def leaked_items(
     blocks = max(1, math.ceil(chars / block_chars))
     schema = f"doc_id {key_type}, item_id {item_type}, item_start int, item_end int, edits int, similarity double"
     corpus = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    out = None
+    indexes = []
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(index_items([tuple(r) for r in part.select(item_id, item_text).distinct().collect()], least, share))
-
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            known: dict[str, int] = {}
-            for batch in batches:
+        indexes.append(spark.sparkContext.broadcast(index_items([tuple(r) for r in part.select(item_id, item_text).distinct().collect()], least, share)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for shared in indexes:
+                # Of several blocks, a worker holds one at a time; they lie on its disk.
+                index = shared.value if len(indexes) == 1 else shared.load_from_path(shared._path)
                 for s in range(0, len(batch), 500):
-                    rows = _leaks_of(batch.iloc[s : s + 500], index.value, known, least, share)
+                    rows = _leaks_of(batch.iloc[s : s + 500], index, known, least, share)
                     if rows:
                         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_start", "item_end", "edits", "similarity"])
 
-        found = corpus.mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
+    out = corpus.mapInPandas(search, schema)
     return out.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id if item_id != doc_id else f"item_{item_id}"})

@@ -28,6 +28,19 @@ def words(text: str) -> list[str]:
     return [fold(w) for w in plain_words(text)]
 
 
+def cached_words(text: str, known: dict[str, str], most: int = 400_000) -> list[str]:
+    """``words``, with the folded forms of words seen before taken from ``known``, which is emptied when it holds ``most``."""
+    out = []
+    for w in plain_words(text):
+        folded = known.get(w)
+        if folded is None:
+            if len(known) >= most:
+                known.clear()
+            known[w] = folded = fold(w)
+        out.append(folded)
+    return out
+
+
 def joined_breaks(text: str, known: set[str]) -> str:
     """``text`` with a word that a hyphen and a line break split made whole, where the whole word is a known one."""
     return _BREAK.sub(lambda m: m[1] + m[2] if fold(m[1] + m[2]) in known else m[0], text) if "-\n" in text else text
