@@ -219,3 +219,14 @@ def test_small_helpers(spark):
     assert catalog.complete_edition(blocks).count() == 2
     with pytest.raises(ValueError):
         catalog.complete_edition(blocks, 95)
+
+
+def test_dense_ranking_in_blocks_of_queries(spark):
+    import random
+
+    from spanforge.operators.dense import dense_search
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(4)] if i % 7 else None) for i in range(60)], "id int, v array<double>")
+    one, many = (rows(dense_search(df, "id", "v", df.filter("id < 20").withColumnRenamed("id", "q"), "q", "v", 3, block), "query_id", "rank", "id", "score") for block in (2000, 4))
+    assert one == many and len(one) == 17 * 3 and all(q == i for q, r, i, _ in one if r == 1)
