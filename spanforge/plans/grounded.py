@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import quotes
 from spanforge.operators import evidence, fusion, validation
+from spanforge.plans import records as records_sql
 from spanforge.plans import retrieval
+from spanforge.plans.evaluation import _best, _map
+from spanforge.plans.retrieval_sql import BASE
 
 QUOTAS = {"cosine": 10, "bm25": 10}
 WEIGHTS = {"cosine": 1.0, "bm25": 1.0, "model": 2.0}
@@ -114,3 +117,37 @@ def retrieval_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"grounded_pipeline": grounded_pipeline, "retrieval_funnel": retrieval_funnel}
+
+_WHITE = records_sql.SPACE
+
+
+def _folded(column: str) -> str:
+    """``quotes.contains_quote``'s folding in SQL."""
+    return f"trim(regexp_replace(translate({column}, '«»“”„‟‘’' || chr(700) || '`‐‑‒–—−', repeat(chr(34), 6) || repeat(chr(39), 4) || '------'), '[{_WHITE}]+', ' ', 'g'))"
+
+
+
+def _first_span(rows: str, key: str, text: str) -> str:
+    """The first quotable span of twenty characters or more of each text: the words that fit into 200 characters of a line without its marks."""
+    body = f"regexp_replace(regexp_replace(line, '^[{_WHITE}#>*•·–—|-]+', ''), '[{_WHITE}|*]+$', '')"
+    return f"""(SELECT {key}, arg_min(span, n) AS span FROM (SELECT {key}, n, regexp_replace(regexp_extract({body}, '^(.{{1,200}})(?:[{_WHITE}]|$)', 1), '[{_WHITE}]+$', '') AS span
+        FROM (SELECT {key}, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT {key}, string_split({text}, chr(10)) AS l FROM {rows}))) WHERE length(span) >= {LEAST_QUOTE} GROUP BY {key})"""
+
+
+_MODEL = """s2 AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY src, rank) AS rank FROM (SELECT query_id, item, src, rank, row_number() OVER (PARTITION BY query_id, item ORDER BY src, rank) AS n FROM (
+    SELECT query_id, item, rank, CASE source WHEN 'cosine' THEN 0 ELSE 1 END AS src FROM pj WHERE rank <= 10)) WHERE n = 1)"""
+_ARTICLES = """mr AS (SELECT query_id, article AS item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, article, item) AS rank FROM b1),
+    fa AS (SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b, item) AS rank FROM (SELECT query_id, item, round(sum(w / (30 + rank)), 9) AS score, min(rank) AS b FROM (
+        SELECT query_id, item, rank, 1.0::DOUBLE AS w FROM pj UNION ALL SELECT query_id, item, rank, 2.0::DOUBLE FROM mr) JOIN (SELECT query_id, item FROM s2) USING (query_id, item) GROUP BY query_id, item)) WHERE rank <= 10)"""
+
+# The first chunk of a pack is the best one of the first article, so that the stand-in's draft needs no further packing; a chunk without a long span would be passed over
+# (the project's chunks have one).
+SQL = {
+    "grounded_pipeline": BASE + f""", nu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm_id ORDER BY loaded_at DESC) AS rn FROM norm_units) WHERE rn = 1),
+        {_MODEL}, {_map("s2", "k2", 2)}, {_best("k2", "s2", "b1")}, {_ARTICLES}, {_map("fa", "k8", 8)},
+        le AS (SELECT query_id, item FROM (SELECT k8.query_id, k8.item, row_number() OVER (PARTITION BY k8.query_id ORDER BY fa.rank, md.score DESC, k8.item) AS n FROM k8 JOIN fa ON fa.query_id = k8.query_id AND fa.item = k8.article JOIN md ON md.query_id = k8.query_id AND md.item = k8.item) WHERE n = 1),
+        dq AS {_first_span("q", "query_id", "txt")}, nq AS {_first_span("c", "item", "txt")},
+        dr AS (SELECT le.query_id, le.item AS chunk_id, c.norm_ids[1] AS norm_id, dq.span AS doc_quote, nq.span AS norm_quote, nu.text AS norm_text, q.txt AS argument FROM le JOIN q USING (query_id) JOIN c USING (item) JOIN dq USING (query_id) JOIN nq USING (item) LEFT JOIN nu ON nu.norm_id = c.norm_ids[1]),
+        rs AS (SELECT *, CASE WHEN norm_text IS NULL THEN 'unknown_norm' WHEN NOT contains({_folded("norm_text")}, {_folded("norm_quote")}) THEN 'norm_quote_not_in_unit' END AS reason FROM dr)
+        SELECT query_id, CASE WHEN reason IS NULL THEN 'remark' ELSE 'insufficient_evidence' END AS status, reason, chunk_id, norm_id, doc_quote, norm_quote FROM rs"""
+}

@@ -210,7 +210,7 @@ es AS (SELECT law_id, edition_id, CASE WHEN regexp_matches(ef, '^\d{4}-\d\d-\d\d
 ep AS (SELECT law_id, edition_id, start, coalesce(lead(start) OVER (PARTITION BY law_id ORDER BY start, edition_id), '9999-12-31') AS until FROM es)
 """
 _CITES = r"(^|[^\p{L}\p{N}_])(стат(ья|ьи|ье|ью|ьёй|ей)|ст\.?|част(ь|и|ью)|ч\.?|пункт(а|е|ом|ы)?|п\.?)[\s\x{a0}]*\d+"
-_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPAN = "({0} IS NULL OR coalesce({0}.char_start >= 0 AND {0}.char_end > {0}.char_start AND length({0}.quote) = {0}.char_end - {0}.char_start, false))"
 _N, _R, _E = "coalesce(gold_norms, [])", "coalesce(exclusion_reasons, [])", "list_transform(coalesce(gold_evidence, []), lambda g: g.norm_id)"
 _IF = "(annotation_status IS DISTINCT FROM 'verified' OR coalesce({0}, false))"
@@ -249,7 +249,7 @@ SQL = {
         UNION ALL SELECT doc_id, text, b, CASE WHEN e < length(text) AND sp > 0 AND b + 350 + length(s) - sp > b THEN b + 350 + length(s) - sp ELSE e END, n + 1 FROM (
             SELECT *, strpos(reverse(s), ' ') AS sp FROM (SELECT *, substring(text, b + 351, e - b - 350) AS s FROM (SELECT *, least(b + 700, length(text)) AS e FROM (SELECT doc_id, text, n, j, CASE WHEN n = 0 THEN 0 ELSE greatest(j - 200, i + 1) END AS b FROM w WHERE j < length(text)))))),
         p AS (SELECT doc_id, n, i, substring(text, i + 1, j - i) AS t FROM w WHERE n > 0 UNION ALL SELECT doc_id, 1, 0, text FROM documents WHERE length(text) <= 700),
-        x AS (SELECT doc_id, n, i, t, regexp_extract(t, '(?s)[^{_SPACE}](?:.*[^{_SPACE}])?') AS body, regexp_extract(t, '^[{_SPACE}]*') AS head, length(d.text) <= 700 AS whole FROM p JOIN documents d USING (doc_id)),
+        x AS (SELECT doc_id, n, i, t, regexp_extract(t, '(?s)[^{SPACE}](?:.*[^{SPACE}])?') AS body, regexp_extract(t, '^[{SPACE}]*') AS head, length(d.text) <= 700 AS whole FROM p JOIN documents d USING (doc_id)),
         y AS (SELECT doc_id, n, CASE WHEN whole THEN i ELSE i + length(head) END AS a, CASE WHEN whole THEN t ELSE body END AS piece FROM x WHERE length(body) > 0)
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS place, a AS char_start, a + length(piece) AS char_end, piece FROM y""",
     "law_stats": _EC + "SELECT split_part(norm_id, ':', 1) AS law_id, count_if(unit_level = 'article') AS articles, count_if(unit_level = 'part') AS parts, count_if(unit_level = 'point') AS points, count_if(is_repealed) AS repealed, count_if(is_retrieval_unit) AS retrieval_units, sum(length(text)) AS chars FROM nu GROUP BY 1",
