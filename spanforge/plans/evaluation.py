@@ -205,7 +205,7 @@ _ONCE = "SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() O
 
 
 def _map(articles: str, name: str, per: int) -> str:
-    return f"""{name} AS (SELECT query_id, article, item FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY rank, src, item) AS place FROM (
+    return f"""{name} AS (SELECT query_id, article, item, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY rank, src, item) AS place FROM (
        SELECT query_id, article, item, rank, src FROM (SELECT query_id, article, item, rank, src, row_number() OVER (PARTITION BY query_id, article, item ORDER BY rank, src) AS n
        FROM (SELECT query_id, item, rank, CASE source WHEN 'cosine' THEN 1 ELSE 2 END AS src FROM rk) JOIN ca USING (item)
        WHERE (query_id, article) IN (SELECT query_id, item FROM {articles})) WHERE n = 1)) WHERE place <= {per})"""
@@ -288,3 +288,10 @@ SQL = {
 SQL["pack_flags"] = SQL["evidence_pack"].replace("SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, n)", ", ep AS (SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, n)") + """),
         pu AS (SELECT query_id, norm_id, article FROM ep JOIN un USING (item))
         SELECT query_id, bool_or((query_id, norm_id) IN (SELECT query_id, norm_id FROM pu)) AS gold_in_pack, bool_or((query_id, article) IN (SELECT query_id, article FROM pu)) AS gold_article_in_pack FROM gold GROUP BY query_id"""
+SQL["budget_pack"] = BASE.replace("WITH ec", "WITH RECURSIVE ec", 1) + f""", {_map("sq", "c8", 8)}, pk AS (SELECT c8.query_id, c8.article, c8.item, c8.place, sq.rank AS ar, length(c.txt) AS chars FROM c8 JOIN sq ON sq.query_id = c8.query_id AND sq.item = c8.article JOIN c ON c.item = c8.item),
+        fs AS (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY place, item) AS k FROM pk),
+        se AS (SELECT query_id, item, chars, row_number() OVER (PARTITION BY query_id ORDER BY part, a, item) AS n FROM (SELECT query_id, item, chars, 0 AS part, ar AS a FROM fs WHERE k = 1 UNION ALL SELECT query_id, item, chars, 1, place FROM pk)),
+        st AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS n, CAST(4000 AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS items FROM pk
+            UNION ALL SELECT st.query_id, se.n, CASE WHEN ok THEN room - chars ELSE room END, CASE WHEN ok THEN list_append(items, item) ELSE items END FROM st JOIN se ON se.query_id = st.query_id AND se.n = st.n + 1, LATERAL (SELECT NOT list_contains(items, item) AND chars <= room AS ok)),
+        en AS (SELECT query_id, arg_max(items, n) AS items FROM st GROUP BY query_id)
+        SELECT query_id, unnest(items) AS item, generate_subscripts(items, 1) AS rank FROM en"""

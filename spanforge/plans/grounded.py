@@ -151,3 +151,7 @@ SQL = {
         rs AS (SELECT *, CASE WHEN norm_text IS NULL THEN 'unknown_norm' WHEN NOT contains({_folded("norm_text")}, {_folded("norm_quote")}) THEN 'norm_quote_not_in_unit' END AS reason FROM dr)
         SELECT query_id, CASE WHEN reason IS NULL THEN 'remark' ELSE 'insufficient_evidence' END AS status, reason, chunk_id, norm_id, doc_quote, norm_quote FROM rs"""
 }
+# Each of the ten articles has its first chunk in the pack, so that the articles of a pack are those with a candidate.
+SQL["retrieval_funnel"] = SQL["grounded_pipeline"].split("le AS (")[0] + "z AS (" + " UNION ALL ".join(
+    f"SELECT '{stage}' AS stage, query_id, article FROM ga WHERE (query_id, article) IN (SELECT query_id, {column} FROM {rows})" for stage, column, rows in (("1 candidates", "item", "pj"), ("2 shortlist", "item", "fa"), ("3 pack", "article", "k8"))
+) + ") SELECT stage, count(DISTINCT query_id) AS queries, count(article) AS articles FROM (SELECT unnest(['1 candidates', '2 shortlist', '3 pack']) AS stage) LEFT JOIN z USING (stage) GROUP BY stage"
