@@ -295,3 +295,12 @@ SQL["budget_pack"] = BASE.replace("WITH ec", "WITH RECURSIVE ec", 1) + f""", {_m
             UNION ALL SELECT st.query_id, se.n, CASE WHEN ok THEN room - chars ELSE room END, CASE WHEN ok THEN list_append(items, item) ELSE items END FROM st JOIN se ON se.query_id = st.query_id AND se.n = st.n + 1, LATERAL (SELECT NOT list_contains(items, item) AND chars <= room AS ok)),
         en AS (SELECT query_id, arg_max(items, n) AS items FROM st GROUP BY query_id)
         SELECT query_id, unnest(items) AS item, generate_subscripts(items, 1) AS rank FROM en"""
+SQL["adaptive_pack"] = BASE.replace("WITH ec", "WITH RECURSIVE ec", 1) + rf""", {_map("sq", "c8", 8)}, pk AS (SELECT c8.query_id, c8.article, c8.item, sq.rank AS ar, score, greatest(1, CAST(ceil(length(c.txt) / 3.0) AS BIGINT)) AS tokens, row_number() OVER w AS within, first_value(score) OVER w AS lead_score,
+        list_transform(norm_ids, lambda n: c8.article || '|' || regexp_replace(n, '^([^:]*):[^:]*', '\1')) AS paths FROM c8 JOIN md ON md.query_id = c8.query_id AND md.item = c8.item JOIN sq ON sq.query_id = c8.query_id AND sq.item = c8.article JOIN c ON c.item = c8.item
+        WINDOW w AS (PARTITION BY c8.query_id, c8.article ORDER BY score DESC, c8.item)),
+        st AS (SELECT query_id, list(item ORDER BY ar) AS items, list(article ORDER BY ar) AS arts, flatten(list(paths)) AS known, CAST(sum(tokens) AS BIGINT) AS used FROM pk WHERE within = 1 GROUP BY query_id
+            UNION ALL SELECT query_id, list_append(items, item), list_append(arts, article), list_concat(known, paths), used + tokens FROM (
+                SELECT st.*, pk.item, pk.article, pk.paths, pk.tokens, row_number() OVER (PARTITION BY st.query_id ORDER BY score + CASE WHEN list_has_all(known, paths) THEN 0.0::DOUBLE ELSE 0.05::DOUBLE END DESC, ar, within, item) AS k FROM st JOIN pk ON pk.query_id = st.query_id
+                WHERE within > 1 AND len(items) < 20 AND NOT list_contains(items, item) AND len(list_filter(arts, lambda x: x = article)) < 2 AND score >= greatest(lead_score, 0.000000001) * 0.25::DOUBLE AND used + tokens <= 3000) WHERE k = 1),
+        en AS (SELECT query_id, arg_max(items, len(items)) AS items FROM st GROUP BY query_id)
+        SELECT query_id, unnest(items) AS item, generate_subscripts(items, 1) AS rank FROM en"""
