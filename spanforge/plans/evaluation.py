@@ -304,3 +304,12 @@ SQL["adaptive_pack"] = BASE.replace("WITH ec", "WITH RECURSIVE ec", 1) + rf""",
                 WHERE within > 1 AND len(items) < 20 AND NOT list_contains(items, item) AND len(list_filter(arts, lambda x: x = article)) < 2 AND score >= greatest(lead_score, 0.000000001) * 0.25::DOUBLE AND used + tokens <= 3000) WHERE k = 1),
         en AS (SELECT query_id, arg_max(items, len(items)) AS items FROM st GROUP BY query_id)
         SELECT query_id, unnest(items) AS item, generate_subscripts(items, 1) AS rank FROM en"""
+_ALIKE = "len(list_intersect({0}, {1})) / CAST(greatest(1, len({0}) + len({1}) - len(list_intersect({0}, {1}))) AS DOUBLE)"
+SQL["diverse_selection"] = BASE.replace("WITH ec", "WITH RECURSIVE ec", 1) + f""", {_map("sq", "c8", 8)}, p0 AS (SELECT DISTINCT query_id, item, score, r AS words, list_distinct(norm_ids) AS norms FROM c8 JOIN md USING (query_id, item) JOIN ws USING (item) JOIN c USING (item)),
+        pk AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0::DOUBLE END AS value FROM p0 WINDOW w AS (PARTITION BY query_id)),
+        st AS (SELECT DISTINCT query_id, CAST([] AS VARCHAR[]) AS items, CAST([] AS VARCHAR[][]) AS ww, CAST([] AS VARCHAR[][]) AS nn FROM pk
+            UNION ALL SELECT query_id, list_append(items, item), list_append(ww, words), list_append(nn, norms) FROM (
+                SELECT st.*, pk.item, pk.words, pk.norms, row_number() OVER (PARTITION BY st.query_id ORDER BY 0.5::DOUBLE * value + 0.5::DOUBLE * (1 - coalesce(list_max(list_transform(range(1, len(items) + 1), lambda i: greatest({_ALIKE.format("words", "ww[i]")}, {_ALIKE.format("norms", "nn[i]")}))), 0.0::DOUBLE)) DESC, pk.item) AS k
+                FROM st JOIN pk ON pk.query_id = st.query_id WHERE len(items) < 10 AND NOT list_contains(items, pk.item)) WHERE k = 1),
+        en AS (SELECT query_id, arg_max(items, len(items)) AS items FROM st GROUP BY query_id)
+        SELECT query_id, unnest(items) AS item, generate_subscripts(items, 1) AS rank FROM en"""
