@@ -67,11 +67,10 @@ class Base:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return self._kept(lexical.term_weights(self.posted, "item"))
-
-    @cached_property
-    def postings_count(self) -> int:
-        return self.posted.count()
+        out, seen = cut(lexical.term_weights(self.posted, "item"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+        self.cuts.append(out)
+        self.postings_count = seen["postings"]
+        return out
 
     @cached_property
     def rankings_(self) -> DataFrame:
