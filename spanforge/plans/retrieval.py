@@ -18,6 +18,8 @@ from spanforge.operators import dense, evidence, fusion, lexical, metrics
 from spanforge.session import cut, signature, still_there, table
 
 POOL = 50
+#: Terms of queries that are broadcast, at most; more of them are joined by shuffle.
+MOST_ASKED = 1_000_000
 BOTH = {"bm25": 2.0, "cosine": 1.0}
 
 
@@ -72,13 +74,20 @@ class Base:
         self.postings_count = seen["postings"]
         return out
 
+    @cached_property
+    def asks(self) -> DataFrame:
+        out, seen = cut(lexical.gathered(self.asked, "query_id", "text"), F.coalesce(F.sum(F.size("asks")), F.lit(0)).alias("n"))
+        self.cuts.append(out)
+        self.few = seen["n"] <= MOST_ASKED
+        return out
+
     @cached_property
     def rankings_(self) -> DataFrame:
         cols = ["query_id", "source", "rank", "item"]
         return self._kept(self.bm25().withColumn("source", F.lit("bm25")).select(cols).unionByName(self.cosine().withColumn("source", F.lit("cosine")).select(cols)))
 
     def bm25(self, k: int = POOL) -> DataFrame:
-        return lexical.bm25_search(self.posted, "item", self.asked, "query_id", "text", k, self.weights, self.corpus.select("item"), self.postings_count)
+        return lexical.bm25_search(self.posted, "item", self.asked, "query_id", "text", k, self.weights, self.corpus.select("item"), self.postings_count, self.asks, self.few)
 
     def cosine(self, k: int = POOL) -> DataFrame:
         return lexical.set_cosine_search(self.posted, "item", self.asked, "query_id", "text", k)
