@@ -1,10 +1,11 @@
 """Filling containers of fixed capacity by a grouping genetic algorithm on islands.
 
 Documents are measured in tokens of a public tokenizer; one that exceeds the capacity is cut into full pieces and a
-rest.  Pieces are dealt by hash to groups of bounded size.  Each group is evolved on several islands, as tasks of their
-own: an individual is a set of containers, crossover injects whole well-filled containers of one parent into the
+rest.  Pieces are dealt by hash to groups of bounded size.  In a group, pieces that an optimal filling may hold alone or in twos are
+settled first.  The rest of each group is evolved on several islands, as tasks of their own: an individual is a set of containers, crossover injects whole well-filled containers of one parent into the
 other, removes the containers that hold one of their pieces already, exchanges displaced pieces for smaller ones where that fills
-a container better, and best-fits what is left; the fitness is the mean square fill.  After each epoch the elite of an island moves
+a container better, and best-fits what is left; the fitness is the mean square fill.  Groups of any size are searched for as many
+generations, or until a lower bound proves the filling optimal.  After each epoch the elite of an island moves
 on to the next one.  The poorly filled containers of all groups are opened again and their pieces meet in groups of their
 own, so that a group's last container costs nothing.
 """
@@ -28,12 +29,10 @@ from spanforge.session import cut
 #: Pieces in a group, about; what a task holds at once does not grow with the corpus.
 GROUP = 1000
 ISLANDS, EPOCHS, POPULATION = 2, 2, 8
-#: Pieces times generations of one epoch: a small group is searched longer than a large one, at the same cost.
-EFFORT, MOST_GENERATIONS = 3000, 200
-#: Exchanges in one crossover or mutation.
-MOST_MOVES = 60
-#: The search ends when this share of the containers, at most, could still be saved.
-NEAR = 0.003
+#: Generations of one epoch, for a group of any size.
+GENERATIONS = 200
+#: Searches of one group on one island, in a task.
+SEARCHES = 16
 #: Containers below this fill are opened again, to meet those of other groups.
 REOPENED = 0.97
 
@@ -99,47 +98,54 @@ def best_fit(packing: Packing, pieces: list[int], sizes: list[int], capacity: in
     return packing
 
 
+def _offers(packing: Packing, b: int, sizes: list[int], capacity: int) -> list[tuple[int, int, int, tuple[int, ...]]]:
+    """(size, most, container, pieces): what may leave a container with room for a piece of at most ``most``; pairs of neighbours stand for its pairs."""
+    room, pieces = capacity - packing.loads[b], packing.bins[b]
+    out = [(sizes[p], sizes[p] + room, b, (p,)) for p in pieces]
+    return out + [(n, n + room, b, (p, q)) for p, q in zip(pieces, pieces[1:]) for n in (sizes[p] + sizes[q],)]
+
+
 def exchange(packing: Packing, loose: list[int], sizes: list[int], capacity: int) -> list[int]:
     """Puts loose pieces, the largest first, in the place of one or two smaller ones where the container gets fuller; what is loose now.
 
-    Every exchange makes a container fuller and the loose pieces smaller.
+    Every exchange makes a container fuller and the loose pieces smaller; it ends when none is left.
     """
     out: list[int] = []
-    waiting = sorted(loose, key=lambda p: sizes[p])
-    slack = np.array([capacity - x for x in packing.loads])
-    owner = np.concatenate([np.full(len(b), i) for i, b in enumerate(packing.bins)]) if packing.bins else np.empty(0, dtype=int)
-    pieces = np.array([p for b in packing.bins for p in b], dtype=np.int64)
+    waiting = sorted(loose, key=sizes.__getitem__)
+    # Full containers have nothing to offer.  The least piece that leaves is the first offer that is high enough.
+    free = [b for b, load in enumerate(packing.loads) if load < capacity]
+    pieces = np.array([p for b in free for p in packing.bins[b]], dtype=np.int64)
+    owner = np.array([b for b in free for _ in packing.bins[b]], dtype=np.int64)
+    pair = np.flatnonzero(owner[1:] == owner[:-1])
     size = np.array(sizes, dtype=np.int64)[pieces]
-    # Pairs of neighbours in a container stand for its pairs.
-    pair = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) > 1 else np.empty(0, dtype=int)
-    moves = min(2 * len(loose), MOST_MOVES)
+    low, owner = np.concatenate([size, size[pair] + size[pair + 1]]), np.concatenate([owner, owner[pair]])
+    most = low + capacity - np.array(packing.loads, dtype=np.int64)[owner]
+    one, two = np.concatenate([pieces, pieces[pair]]), np.concatenate([np.full(len(pieces), -1), pieces[pair + 1]])
+    order = np.lexsort((two, one, owner, most, low))
+    most, owner, one, two, low = most[order], owner[order], one[order], two[order], low[order].tolist()
+    fresh: list[tuple[int, int, int, tuple[int, ...]]] = []
     while waiting:
         p = waiting.pop()
-        gone: list[int] = []
-        if moves and len(pieces):
-            room = slack[owner]
-            one = np.where((size < sizes[p]) & (size + room >= sizes[p]), size, np.iinfo(np.int64).max)
-            two = size[pair] + size[pair + 1]
-            two = np.where((two < sizes[p]) & (two + room[pair] >= sizes[p]), two, np.iinfo(np.int64).max)
-            best_one, best_two = (int(one.argmin()) if len(one) else -1), (int(two.argmin()) if len(two) else -1)
-            a, b = (one[best_one] if best_one >= 0 else np.iinfo(np.int64).max), (two[best_two] if best_two >= 0 else np.iinfo(np.int64).max)
-            if min(a, b) < np.iinfo(np.int64).max:
-                gone = [best_one] if a <= b else [int(pair[best_two]), int(pair[best_two]) + 1]
-        if not gone:
+        n, best = sizes[p], None
+        if upto := bisect.bisect_left(low, n):
+            at = int((most[:upto] >= n).argmax())
+            if most[at] >= n:
+                best = (low[at], int(most[at]), int(owner[at]), (int(one[at]),) if two[at] < 0 else (int(one[at]), int(two[at])))
+        for o in fresh:
+            if o[0] < n <= o[1] and (best is None or o < best):
+                best = o
+        if best is None:
             out.append(p)
             continue
-        moves -= 1
-        at = int(owner[gone[0]])
-        removed = [int(pieces[g]) for g in gone]
-        packing.bins[at] = [x for x in packing.bins[at] if x not in removed] + [p]
-        packing.loads[at] += sizes[p] - sum(sizes[x] for x in removed)
-        slack[at] = capacity - packing.loads[at]
-        # (a pair's second place stays in the container, without a piece)
-        pieces[gone[0]], size[gone[0]] = p, sizes[p]
-        for g in gone[1:]:
-            size[g], pieces[g] = np.iinfo(np.int32).max, -1
-        for x in removed:
-            bisect.insort(waiting, x, key=lambda y: sizes[y])
+        less, _, b, gone = best
+        packing.bins[b] = [x for x in packing.bins[b] if x not in gone] + [p]
+        packing.loads[b] += n - less
+        most[owner == b] = -1
+        fresh = [o for o in fresh if o[2] != b]
+        if packing.loads[b] < capacity:
+            fresh += _offers(packing, b, sizes, capacity)
+        for x in gone:
+            bisect.insort(waiting, x, key=sizes.__getitem__)
     return out
 
 
@@ -189,33 +195,94 @@ def _codes(packing: Packing, n: int) -> list[int]:
     return out
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int | None = None, population: int = POPULATION) -> list[int]:
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """A number of containers that no filling can do without (Martello and Toth's second bound)."""
+    a = np.sort(np.array([x for x in sizes if x > 0], dtype=np.int64))
+    if not len(a):
+        return min(1, len(sizes))
+    sums = np.concatenate([[0], np.cumsum(a)])
+    half = int(np.searchsorted(a, capacity // 2, "right"))
+    # Pieces over half a container have one each; those of at least k can use the room of the ones that leave as much only.
+    k = np.unique(np.concatenate([[0], a[:half]]))
+    top, small = np.searchsorted(a, capacity - k, "right"), np.searchsorted(a, k, "left")
+    over = sums[half] - sums[np.minimum(small, half)] - ((top - half) * capacity - (sums[top] - sums[half]))
+    return len(a) - half + max(0, int((-(-over // capacity)).max()))
+
+
+def settled(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Containers that some optimal filling has, and the pieces left.
+
+    A piece that no other fits beside is alone.  One whose room no set of pieces can use better than a single piece does is
+    with that piece: in any filling the two can change places with what stands beside the one.  Pieces without size are left.
+    """
+    empty = [p for p, x in enumerate(sizes) if not x]
+    left = sorted((x, p) for p, x in enumerate(sizes) if x)
+    done: list[list[int]] = []
+    before = -1
+    while len(left) != before:
+        before, sums = len(left), 1
+        for x, _ in left:
+            sums |= (sums << x) & ((1 << (capacity + 1)) - 1)
+        for x, p in left[::-1]:
+            at = bisect.bisect_left(left, (x, p))
+            if at == len(left) or left[at] != (x, p):
+                continue
+            # The fullest any pieces can make the room, itself among them: never too little.
+            used = (sums & ((1 << (capacity - x + 1)) - 1)).bit_length() - 1
+            mate = bisect.bisect_left(left, (used + 1, -1)) - 1
+            mate -= mate == at
+            if not used:
+                done.append([left.pop(at)[1]])
+            elif mate >= 0 and left[mate][0] == used:
+                done.append([p, left[mate][1]])
+                for i in sorted((at, mate), reverse=True):
+                    left.pop(i)
+    return done, sorted([*empty, *(p for _, p in left)])
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int = GENERATIONS, population: int = POPULATION) -> list[int]:
     """The container of each piece in the best individual; ``elites`` are individuals to start from.
 
-    It ends when no fewer containers, but for a share of ``NEAR``, can hold the pieces.
+    It ends early only when no fewer containers can hold the pieces.
     """
-    if generations is None:
-        generations = max(1, min(MOST_GENERATIONS, EFFORT // max(1, len(sizes))))
-    rng = random.Random(seed)
+    score = lambda x: (-len(x.bins), x.fitness(capacity))
+    falling = lambda n: sorted(range(len(n)), key=lambda p: (-n[p], p))
+    whole = [_from_codes(list(e), sizes) for e in elites] or [best_fit(Packing([], []), falling(sizes), sizes, capacity)]
+    if min(len(x.bins) for x in whole) > least_containers(sizes, capacity):
+        done, left = settled(sizes, capacity)
+        rest = [sizes[p] for p in left]
+        starts = [_dense([e[p] for p in left]) for e in elites]
+        best = _evolve(rest, capacity, random.Random(seed), [_from_codes(x, rest) for x in starts] or [best_fit(Packing([], []), falling(rest), rest, capacity)], generations, population, score)
+        bins = [*done, *([left[p] for p in b] for b in best.bins)]
+        whole.append(Packing(bins, [sum(sizes[p] for p in b) for b in bins]))
+    return _codes(max(whole, key=score), len(sizes))
+
+
+def _dense(codes: list[int]) -> list[int]:
+    names = {c: i for i, c in enumerate(sorted(set(codes)))}
+    return [names[c] for c in codes]
+
+
+def _evolve(sizes: list[int], capacity: int, rng: random.Random, starts: list[Packing], generations: int, population: int, score) -> Packing:
+    lower = least_containers(sizes, capacity)
     falling = sorted(range(len(sizes)), key=lambda p: (-sizes[p], p))
-    lower = -(-sum(sizes) // capacity)
-    lower += int(NEAR * lower)
-    people = [_from_codes(list(e), sizes) for e in elites] or [best_fit(Packing([], []), falling, sizes, capacity)]
-    while len(people) < population and len(people[0].bins) > lower:
+    people = [(score(x), x) for x in starts]
+    while len(people) < population and min(len(x.bins) for _, x in people) > lower:
         order = sorted(falling, key=lambda p: -sizes[p] * (1 + 0.25 * rng.random()))
-        people.append(best_fit(Packing([], []), order, sizes, capacity))
-    score = lambda x: (-len(x.bins), x.fitness(capacity))
-    people.sort(key=score, reverse=True)
+        x = best_fit(Packing([], []), order, sizes, capacity)
+        people.append((score(x), x))
+    people.sort(key=lambda x: x[0], reverse=True)
     for _ in range(generations):
-        if len(people[0].bins) <= lower:
+        if len(people[0][1].bins) <= lower:
             break
         children = []
         for _ in range(max(1, population // 2)):
-            a, b = rng.sample(people[: max(2, len(people) // 2 + 1)], 2) if len(people) > 1 else (people[0], people[0])
+            (_, a), (_, b) = rng.sample(people[: max(2, len(people) // 2 + 1)], 2) if len(people) > 1 else (people[0], people[0])
             child = crossover(a, b, sizes, capacity, rng)
-            children.append(mutate(child, sizes, capacity, rng) if rng.random() < 0.5 else child)
-        people = sorted([*people, *children], key=score, reverse=True)[:population]
-    return _codes(people[0], len(sizes))
+            child = mutate(child, sizes, capacity, rng) if rng.random() < 0.5 else child
+            children.append((score(child), child))
+        people = sorted([*people, *children], key=lambda x: x[0], reverse=True)[:population]
+    return people[0][1]
 
 
 def containers(counted: DataFrame, key: str, tokens: str, capacities: list[int], group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -266,8 +333,10 @@ def _packed(loose: DataFrame, prefix: str, group: int, islands: int, epochs: int
     # Only sizes travel through the epochs; ids and places join again at the end.
     dealt = cut(dealt)
     state = dealt.select("capacity", "bucket", F.transform("pieces", lambda p: p["size"]).alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit(None).cast("array<array<int>>").alias("elites"))
+    # A number of partitions that is given is kept: small data, long work.
+    tasks = max(1, -(-sum(groups.values()) * islands // SEARCHES))
     for e in range(epochs):
-        evolved = cut(state.repartition("capacity", "bucket", "island").mapInPandas(epoch(e), schema))
+        evolved = cut(state.repartition(tasks, "capacity", "bucket", "island").mapInPandas(epoch(e), schema))
         moved = evolved.select("capacity", "bucket", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("elite").alias("guest"))
         state = evolved.join(moved, ["capacity", "bucket", "island"]).select("capacity", "bucket", "sizes", "island", F.array_distinct(F.array("elite", "guest")).alias("elites"))
     best = evolved.groupBy("capacity", "bucket").agg(F.max(F.struct((-F.array_max("elite")).alias("fewest"), "loads", "island", "elite")).alias("best"))

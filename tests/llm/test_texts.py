@@ -218,6 +218,71 @@ def test_genetic_search_beats_best_fit_on_triplets():
         assert max(loads) <= 1000 and sum(loads) == sum(sizes) and len(loads) <= len(plain.bins) - 2
 
 
+def test_a_full_group_is_searched_to_the_end(monkeypatch):
+    # A thousand pieces are searched for as many generations as sixty, unless the bound is met.
+    crossings, crossover = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: crossings.append(1) or crossover(*a))
+    for seed, saved in ((0, 1), (3, 2)):
+        rng = random.Random(seed)
+        sizes = [int(rng.lognormvariate(5.65, 0.7)) % 512 for _ in range(1000)]
+        plain = packing.best_fit(packing.Packing([], []), sorted(range(1000), key=lambda p: -sizes[p]), sizes, 512)
+        crossings.clear()
+        loads = packing._from_codes(packing.evolve(sizes, 512, seed, []), sizes).loads
+        assert max(loads) <= 512 and sum(loads) == sum(sizes) and len(loads) <= len(plain.bins) - saved
+        assert len(crossings) == 200 * packing.POPULATION // 2
+
+
+def test_one_container_of_hundreds_is_saved():
+    # Best fit puts 400 beside 400; the bound is one container below it, and is met.
+    sizes = [500] * 700 + [400] * 2 + [300] * 4
+    assert len(packing.best_fit(packing.Packing([], []), list(range(706)), sizes, 1000).bins) == 353
+    assert max(packing.evolve(sizes, 1000, 0, [])) + 1 == 352
+
+
+def test_as_many_exchanges_as_there_are():
+    # Each of a hundred containers gets full by one exchange.
+    held = packing.Packing([[i] for i in range(100)], [90] * 100)
+    sizes = [90] * 100 + [100] * 100
+    assert [sizes[p] for p in packing.exchange(held, list(range(100, 200)), sizes, 100)] == [90] * 100
+    assert held.loads == [100] * 100
+
+
+def fewest(sizes, capacity):
+    """Containers of an optimal filling, by trying all."""
+    best = [len(sizes)]
+
+    def place(i, loads):
+        if len(loads) < best[0]:
+            if i == len(sizes):
+                best[0] = len(loads)
+            else:
+                for b in range(len(loads)):
+                    if loads[b] + sizes[i] <= capacity:
+                        place(i + 1, [*loads[:b], loads[b] + sizes[i], *loads[b + 1 :]])
+                place(i + 1, [*loads, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 20), max_size=8), st.integers(20, 30))
+def test_bound_and_settled_pieces_keep_the_optimum(sizes, capacity):
+    best = fewest(sorted(sizes, reverse=True), capacity)
+    assert packing.least_containers(sizes, capacity) <= best
+    done, left = packing.settled(sizes, capacity)
+    assert sorted([*left, *(p for b in done for p in b)]) == list(range(len(sizes)))
+    assert all(sum(sizes[p] for p in b) <= capacity for b in done)
+    # (pieces without size need no container of their own where there is another)
+    rest = [sizes[p] for p in left]
+    assert len(done) + fewest(sorted(rest, reverse=True) if any(rest) or not done else [], capacity) == best
+    codes = packing.evolve(sizes, capacity, 1, [], generations=5)
+    loads = packing._from_codes(codes, sizes).loads
+    assert sorted(set(codes)) == list(range(len(loads))) and max(loads, default=0) <= capacity and sum(loads) == sum(sizes) and len(loads) >= best
+    again = packing.evolve(sizes, capacity, 2, [codes], generations=5)
+    assert len(set(again)) <= len(loads)
+
+
 def test_containers(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([0, 3, 40, 55, 60, 100, 130, 350]), "x") for i in range(300)] + [(300, None, "x"), (301, -4, "x"), (1, 5, "x")]
