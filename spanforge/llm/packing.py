@@ -3,8 +3,10 @@
 Documents are measured in tokens of a public tokenizer; one that exceeds the capacity is cut into full pieces and a
 rest.  Pieces are dealt by hash to groups of bounded size.  In a group, pieces that an optimal filling may hold alone or in twos are
 settled first.  The rest of each group is evolved on several islands, as tasks of their own: an individual is a set of containers, crossover injects whole well-filled containers of one parent into the
-other, removes the containers that hold one of their pieces already, exchanges displaced pieces for smaller ones where that fills
-a container better, and best-fits what is left; the fitness is the mean square fill.  Groups of any size are searched for as many
+other, removes the containers that hold one of their pieces already, and fills containers with the displaced pieces and those of
+the emptiest containers, each as full as any of the pieces can make it; mutation does so with the pieces of a few containers.  The
+first individuals are best fits that exchange the pieces of their emptiest containers for smaller ones where that fills a container
+better; the fitness is the mean square fill.  Groups of any size are searched for as many
 generations, or until a lower bound proves the filling optimal.  After each epoch the elite of an island moves
 on to the next one.  The poorly filled containers of all groups are opened again and their pieces meet in groups of their
 own, so that a group's last container costs nothing.
@@ -67,42 +69,105 @@ def token_counts(documents: DataFrame, key: str, text: str, tokenizer: str, patt
 
 
 class Packing:
-    """Containers as lists of piece numbers, with their loads."""
+    """Containers, each the sorted numbers of its pieces, with their loads.
 
-    __slots__ = ("bins", "loads")
+    Containers never change and are shared by individuals, so that two individuals are told apart by the containers that only one holds.
+    """
+
+    __slots__ = ("held", "order", "squares")
 
     def __init__(self, bins: list[list[int]], loads: list[int]) -> None:
-        self.bins, self.loads = bins, loads
+        self.held = dict(zip((tuple(sorted(b)) for b in bins), loads))
+        #: (load, container), the emptiest first.
+        self.order = sorted((load, x) for x, load in self.held.items())
+        self.squares = sum(x * x for x in loads)
+
+    bins = property(lambda self: list(self.held))
+    loads = property(lambda self: list(self.held.values()))
+    #: Fewer containers, then a greater mean square fill.
+    score = property(lambda self: (-len(self.held), self.squares))
+
+    def copy(self) -> Packing:
+        out = Packing.__new__(Packing)
+        out.held, out.order, out.squares = self.held.copy(), self.order.copy(), self.squares
+        return out
+
+    def put(self, x: tuple[int, ...], load: int) -> None:
+        self.held[x] = load
+        bisect.insort(self.order, (load, x))
+        self.squares += load * load
+
+    def take(self, x: tuple[int, ...]) -> int:
+        load = self.held.pop(x)
+        del self.order[bisect.bisect_left(self.order, (load, x))]
+        self.squares -= load * load
+        return load
+
+    def dissolve(self, containers: list[tuple[int, tuple[int, ...]]]) -> list[int]:
+        """Removes some (load, container); their pieces."""
+        for _, x in containers:
+            self.take(x)
+        return [p for _, x in containers for p in x]
+
+    def few(self) -> int:
+        """How many of the emptiest containers are opened at once."""
+        return max(1, len(self.order) // 50)
 
     def fitness(self, capacity: int) -> float:
-        return float((np.array(self.loads, dtype=float) ** 2).sum()) / capacity**2 / len(self.loads) if self.loads else 1.0
+        return self.squares / capacity**2 / len(self.held) if self.held else 1.0
 
 
 def best_fit(packing: Packing, pieces: list[int], sizes: list[int], capacity: int) -> Packing:
     """The pieces, in the given order, each into the fullest container with room for it."""
-    room = sorted((capacity - load, b) for b, load in enumerate(packing.loads))
-    bins, loads = packing.bins, packing.loads
     for p in pieces:
         size = sizes[p]
-        at = bisect.bisect_left(room, (size, -1))
-        if at < len(room):
-            free, b = room.pop(at)
-            bins[b].append(p)
-            loads[b] += size
+        at = bisect.bisect_left(packing.order, (capacity - size + 1,)) - 1
+        if at < 0:
+            packing.put((p,), size)
         else:
-            free, b = capacity, len(bins)
-            bins.append([p])
-            loads.append(size)
-        if free - size or not size:
-            bisect.insort(room, (free - size, b))
+            x = packing.order[at][1]
+            packing.put(tuple(sorted((*x, p))), packing.take(x) + size)
     return packing
 
 
-def _offers(packing: Packing, b: int, sizes: list[int], capacity: int) -> list[tuple[int, int, int, tuple[int, ...]]]:
-    """(size, most, container, pieces): what may leave a container with room for a piece of at most ``most``; pairs of neighbours stand for its pairs."""
-    room, pieces = capacity - packing.loads[b], packing.bins[b]
-    out = [(sizes[p], sizes[p] + room, b, (p,)) for p in pieces]
-    return out + [(n, n + room, b, (p, q)) for p, q in zip(pieces, pieces[1:]) for n in (sizes[p] + sizes[q],)]
+def fill(packing: Packing, pieces: list[int], sizes: list[int], capacity: int) -> Packing:
+    """The pieces in containers of their own, one after the other: the largest piece left, with those that make it as full as any can, the larger first.
+
+    Pieces without size go to the fullest container.
+    """
+    left = sorted((p for p in pieces if sizes[p]), key=sizes.__getitem__)
+    n, within = [sizes[p] for p in left], (1 << (capacity + 1)) - 1
+    # Bit s of reach[i]: some of the i smallest pieces have s together.
+    reach = [1]
+    for x in n:
+        reach.append((reach[-1] | reach[-1] << x) & within)
+    while left:
+        container, load, i = [left.pop()], n.pop(), len(left)
+        reach.pop()
+        room = (reach[i] & ((1 << (capacity - load + 1)) - 1)).bit_length() - 1
+        load += room
+        while room:
+            i = bisect.bisect_right(n, room, 0, i) - 1
+            while not reach[i] >> (room - n[i]) & 1:
+                i -= 1
+            container.append(left.pop(i))
+            room -= n.pop(i)
+        packing.put(tuple(sorted(container)), load)
+        del reach[i + 1 :]
+        for x in n[i:]:
+            reach.append((reach[-1] | reach[-1] << x) & within)
+    return best_fit(packing, [p for p in pieces if not sizes[p]], sizes, capacity)
+
+
+def _offers(x: tuple[int, ...], load: int, sizes: list[int], capacity: int) -> list[tuple[int, int, tuple[int, ...], tuple[int, ...]]]:
+    """(size, most, container, pieces): what may leave a container with room for a piece of at most ``most``; pairs of neighbours in a ring stand for its pairs."""
+    room = capacity - load
+    # Full containers have nothing to offer.
+    if not room:
+        return []
+    out = [(sizes[p], sizes[p] + room, x, (p,)) for p in x]
+    ring = zip(x, x[1:] + x[:1] if len(x) > 2 else x[1:])
+    return out + [(n, n + room, x, (p, q)) for p, q in ring for n in (sizes[p] + sizes[q],)]
 
 
 def exchange(packing: Packing, loose: list[int], sizes: list[int], capacity: int) -> list[int]:
@@ -112,70 +177,53 @@ def exchange(packing: Packing, loose: list[int], sizes: list[int], capacity: int
     """
     out: list[int] = []
     waiting = sorted(loose, key=sizes.__getitem__)
-    # Full containers have nothing to offer.  The least piece that leaves is the first offer that is high enough.
-    free = [b for b, load in enumerate(packing.loads) if load < capacity]
-    pieces = np.array([p for b in free for p in packing.bins[b]], dtype=np.int64)
-    owner = np.array([b for b in free for _ in packing.bins[b]], dtype=np.int64)
-    pair = np.flatnonzero(owner[1:] == owner[:-1])
-    size = np.array(sizes, dtype=np.int64)[pieces]
-    low, owner = np.concatenate([size, size[pair] + size[pair + 1]]), np.concatenate([owner, owner[pair]])
-    most = low + capacity - np.array(packing.loads, dtype=np.int64)[owner]
-    one, two = np.concatenate([pieces, pieces[pair]]), np.concatenate([np.full(len(pieces), -1), pieces[pair + 1]])
-    order = np.lexsort((two, one, owner, most, low))
-    most, owner, one, two, low = most[order], owner[order], one[order], two[order], low[order].tolist()
-    fresh: list[tuple[int, int, int, tuple[int, ...]]] = []
+    offers = sorted(o for x, load in packing.held.items() for o in _offers(x, load, sizes, capacity))
     while waiting:
         p = waiting.pop()
-        n, best = sizes[p], None
-        if upto := bisect.bisect_left(low, n):
-            at = int((most[:upto] >= n).argmax())
-            if most[at] >= n:
-                best = (low[at], int(most[at]), int(owner[at]), (int(one[at]),) if two[at] < 0 else (int(one[at]), int(two[at])))
-        for o in fresh:
-            if o[0] < n <= o[1] and (best is None or o < best):
-                best = o
-        if best is None:
+        n = sizes[p]
+        # The least that leaves is the first offer that is high enough, of a container that is still there; none is whose size
+        # and the room of the emptiest container are less.
+        least = n - capacity + packing.order[0][0] if packing.order else n
+        for low, most, x, gone in offers[bisect.bisect_left(offers, (least,)) : bisect.bisect_left(offers, (n,))]:
+            if most >= n and x in packing.held:
+                break
+        else:
             out.append(p)
             continue
-        less, _, b, gone = best
-        packing.bins[b] = [x for x in packing.bins[b] if x not in gone] + [p]
-        packing.loads[b] += n - less
-        most[owner == b] = -1
-        fresh = [o for o in fresh if o[2] != b]
-        if packing.loads[b] < capacity:
-            fresh += _offers(packing, b, sizes, capacity)
-        for x in gone:
-            bisect.insort(waiting, x, key=sizes.__getitem__)
+        fuller, load = tuple(sorted([q for q in x if q not in gone] + [p])), packing.take(x) + n - low
+        packing.put(fuller, load)
+        for o in _offers(fuller, load, sizes, capacity):
+            bisect.insort(offers, o)
+        for q in gone:
+            bisect.insort(waiting, q, key=sizes.__getitem__)
     return out
 
 
-def _without(parent: Packing, keep: list[bool]) -> Packing:
-    return Packing([list(b) for b, k in zip(parent.bins, keep) if k], [x for x, k in zip(parent.loads, keep) if k])
-
-
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """``a`` with some well-filled containers of ``b`` injected whole."""
-    order = sorted(range(len(b.bins)), key=lambda i: -b.loads[i] + rng.random() * capacity * 0.05)
-    chosen = [i for i in order[: max(1, len(order) // 2)] if rng.random() < 0.5] or order[:1]
-    injected = {p for i in chosen for p in b.bins[i]}
-    keep = [injected.isdisjoint(x) for x in a.bins]
-    child = _without(a, keep)
-    displaced = [p for x, k in zip(a.bins, keep) if not k for p in x if p not in injected]
-    child.bins += [list(b.bins[i]) for i in chosen]
-    child.loads += [b.loads[i] for i in chosen]
-    displaced = exchange(child, displaced, sizes, capacity)
-    return best_fit(child, sorted(displaced, key=lambda p: -sizes[p]), sizes, capacity)
+    """``a`` with some well-filled containers of ``b`` injected whole, of those that it doesn't hold itself.
+
+    The pieces that they displace and those of the emptiest containers are filled anew.
+    """
+    child = a.copy()
+    # (sorted by pieces first, as a set has no order)
+    order = sorted(sorted(b.held.keys() - a.held.keys()), key=lambda x: -b.held[x] + rng.random() * capacity * 0.05)
+    if not order:
+        return child
+    chosen = [x for x in order[: max(1, len(order) // 2)] if rng.random() < 0.5] or order[:1]
+    injected = {p for x in chosen for p in x}
+    # What both hold has none of the injected pieces.
+    displaced = child.dissolve([(a.held[x], x) for x in sorted(a.held.keys() - b.held.keys()) if not injected.isdisjoint(x)])
+    loose = [p for p in displaced if p not in injected] + child.dissolve(child.order[: child.few()])
+    for x in chosen:
+        child.put(x, b.held[x])
+    return fill(child, loose, sizes, capacity)
 
 
 def mutate(a: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """``a`` with its emptiest containers, and a few others, dissolved and their pieces best-fitted anew."""
-    order = sorted(range(len(a.bins)), key=lambda i: a.loads[i])
-    gone = set(order[: max(1, len(order) // 50)]) | {i for i in range(len(a.bins)) if rng.random() < 0.03}
-    child = _without(a, [i not in gone for i in range(len(a.bins))])
-    loose = [p for i in gone for p in a.bins[i]]
-    loose = exchange(child, loose, sizes, capacity)
-    loose.sort(key=lambda p: -sizes[p] * (1 + 0.1 * rng.random()))
-    return best_fit(child, loose, sizes, capacity)
+    """``a`` with its emptiest containers and a few others, of the full ones fewer, dissolved and their pieces filled anew."""
+    child, few = a.copy(), a.few()
+    others = [x for x in a.order[few:] if rng.random() < (0.05 if x[0] < capacity else 0.03)]
+    return fill(child, child.dissolve(a.order[:few] + others), sizes, capacity)
 
 
 def _from_codes(codes: list[int], sizes: list[int]) -> Packing:
@@ -189,7 +237,7 @@ def _from_codes(codes: list[int], sizes: list[int]) -> Packing:
 
 def _codes(packing: Packing, n: int) -> list[int]:
     out = [0] * n
-    for b, pieces in enumerate(packing.bins):
+    for b, pieces in enumerate(packing.held):
         for p in pieces:
             out[p] = b
     return out
@@ -245,17 +293,16 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]],
 
     It ends early only when no fewer containers can hold the pieces.
     """
-    score = lambda x: (-len(x.bins), x.fitness(capacity))
     falling = lambda n: sorted(range(len(n)), key=lambda p: (-n[p], p))
     whole = [_from_codes(list(e), sizes) for e in elites] or [best_fit(Packing([], []), falling(sizes), sizes, capacity)]
-    if min(len(x.bins) for x in whole) > least_containers(sizes, capacity):
+    if min(len(x.held) for x in whole) > least_containers(sizes, capacity):
         done, left = settled(sizes, capacity)
         rest = [sizes[p] for p in left]
         starts = [_dense([e[p] for p in left]) for e in elites]
-        best = _evolve(rest, capacity, random.Random(seed), [_from_codes(x, rest) for x in starts] or [best_fit(Packing([], []), falling(rest), rest, capacity)], generations, population, score)
-        bins = [*done, *([left[p] for p in b] for b in best.bins)]
+        best = _evolve(rest, capacity, random.Random(seed), [_from_codes(x, rest) for x in starts] or [best_fit(Packing([], []), falling(rest), rest, capacity)], generations, population)
+        bins = [*done, *([left[p] for p in b] for b in best.held)]
         whole.append(Packing(bins, [sum(sizes[p] for p in b) for b in bins]))
-    return _codes(max(whole, key=score), len(sizes))
+    return _codes(max(whole, key=lambda x: x.score), len(sizes))
 
 
 def _dense(codes: list[int]) -> list[int]:
@@ -263,26 +310,29 @@ def _dense(codes: list[int]) -> list[int]:
     return [names[c] for c in codes]
 
 
-def _evolve(sizes: list[int], capacity: int, rng: random.Random, starts: list[Packing], generations: int, population: int, score) -> Packing:
+def _evolve(sizes: list[int], capacity: int, rng: random.Random, starts: list[Packing], generations: int, population: int) -> Packing:
     lower = least_containers(sizes, capacity)
     falling = sorted(range(len(sizes)), key=lambda p: (-sizes[p], p))
-    people = [(score(x), x) for x in starts]
-    while len(people) < population and min(len(x.bins) for _, x in people) > lower:
+    people = list(starts)
+    while len(people) < population and min(len(x.held) for x in people) > lower:
         order = sorted(falling, key=lambda p: -sizes[p] * (1 + 0.25 * rng.random()))
         x = best_fit(Packing([], []), order, sizes, capacity)
-        people.append((score(x), x))
-    people.sort(key=lambda x: x[0], reverse=True)
+        loose = exchange(x, x.dissolve(x.order[: x.few()]), sizes, capacity)
+        people.append(best_fit(x, sorted(loose, key=lambda p: -sizes[p]), sizes, capacity))
+    people.sort(key=lambda x: x.score, reverse=True)
     for _ in range(generations):
-        if len(people[0][1].bins) <= lower:
+        if len(people[0].held) <= lower:
             break
-        children = []
+        children: list[Packing] = []
         for _ in range(max(1, population // 2)):
-            (_, a), (_, b) = rng.sample(people[: max(2, len(people) // 2 + 1)], 2) if len(people) > 1 else (people[0], people[0])
+            a, b = rng.sample(people[: max(2, len(people) // 2 + 1)], 2) if len(people) > 1 else (people[0], people[0])
             child = crossover(a, b, sizes, capacity, rng)
             child = mutate(child, sizes, capacity, rng) if rng.random() < 0.5 else child
-            children.append((score(child), child))
-        people = sorted([*people, *children], key=lambda x: x[0], reverse=True)[:population]
-    return people[0][1]
+            # Crossing equals gives nothing new, so that nobody is there twice.
+            if not any(child.squares == x.squares and child.held == x.held for x in [*people, *children]):
+                children.append(child)
+        people = sorted([*people, *children], key=lambda x: x.score, reverse=True)[:population]
+    return people[0]
 
 
 def containers(counted: DataFrame, key: str, tokens: str, capacities: list[int], group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
