@@ -35,6 +35,8 @@ ISLANDS, EPOCHS, POPULATION = 2, 2, 8
 GENERATIONS = 200
 #: Searches of one group on one island, in a task.
 SEARCHES = 16
+#: Sums of pieces are told apart up to this capacity; in larger containers they are counted in so many parts of it, pieces rounded up.
+SUMS = 1 << 17
 #: Containers below this fill are opened again, to meet those of other groups.
 REOPENED = 0.97
 
@@ -133,29 +135,42 @@ def best_fit(packing: Packing, pieces: list[int], sizes: list[int], capacity: in
 def fill(packing: Packing, pieces: list[int], sizes: list[int], capacity: int) -> Packing:
     """The pieces in containers of their own, one after the other: the largest piece left, with those that make it as full as any can, the larger first.
 
-    Pieces without size go to the fullest container.
+    As full counts in units of capacity / ``SUMS``.  Pieces without size go to the fullest container.
     """
     left = sorted((p for p in pieces if sizes[p]), key=sizes.__getitem__)
-    n, within = [sizes[p] for p in left], (1 << (capacity + 1)) - 1
-    # Bit s of reach[i]: some of the i smallest pieces have s together.
-    reach = [1]
+    unit = -(-capacity // SUMS)
+    n, within = [-(-sizes[p] // unit) for p in left], (1 << (capacity // unit + 1)) - 1
+    total = sum(sizes[p] for p in left)
+    # Bit s of reach[i]: some of the i smallest pieces have s units together.
+    some, reach = 1, [1]
     for x in n:
-        reach.append((reach[-1] | reach[-1] << x) & within)
-    while left:
-        container, load, i = [left.pop()], n.pop(), len(left)
-        reach.pop()
-        room = (reach[i] & ((1 << (capacity - load + 1)) - 1)).bit_length() - 1
-        load += room
+        some = (some | some << x) & within
+        reach.append(some)
+    while total > capacity:
+        container = [left.pop()]
+        i = len(left)
+        del n[i:], reach[i + 1 :]
+        load = sizes[container[0]]
+        room = (reach[i] & ((1 << ((capacity - load) // unit + 1)) - 1)).bit_length() - 1
         while room:
             i = bisect.bisect_right(n, room, 0, i) - 1
             while not reach[i] >> (room - n[i]) & 1:
                 i -= 1
-            container.append(left.pop(i))
+            p = left.pop(i)
+            container.append(p)
+            load += sizes[p]
             room -= n.pop(i)
-        packing.put(tuple(sorted(container)), load)
+        container.sort()
+        packing.put(tuple(container), load)
+        total -= load
+        some = reach[i]
         del reach[i + 1 :]
         for x in n[i:]:
-            reach.append((reach[-1] | reach[-1] << x) & within)
+            some = (some | some << x) & within
+            reach.append(some)
+    # What is left fits into one.
+    if left:
+        packing.put(tuple(sorted(left)), total)
     return best_fit(packing, [p for p in pieces if not sizes[p]], sizes, capacity)
 
 

@@ -293,6 +293,17 @@ def test_each_container_is_as_full_as_the_pieces_left_can_make_it(sizes, capacit
     assert not left
 
 
+def test_large_containers_are_filled_in_units():
+    # Sums are bits: a billion of them for each piece would take gigabytes.
+    rng = random.Random(1)
+    for capacity in (131_073, 10**9):
+        sizes = [rng.randint(1, capacity) for _ in range(60)]
+        filled = packing.fill(packing.Packing([], []), list(range(60)), sizes, capacity)
+        assert sorted(p for b in filled.bins for p in b) == list(range(60))
+        assert filled.loads == [sum(sizes[p] for p in b) for b in filled.bins] and max(filled.loads) <= capacity
+        assert len(filled.bins) <= len(packing.best_fit(packing.Packing([], []), list(range(60)), sizes, capacity).bins)
+
+
 def fewest(sizes, capacity):
     """Containers of an optimal filling, by trying all."""
     best = [len(sizes)]
