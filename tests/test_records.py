@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import lookalike, quotes, text
@@ -137,3 +138,16 @@ def test_members_of_archives_are_rows(spark):
     files = spark.createDataFrame([("f.zip", buffer.getvalue()), ("g.txt", "два".encode()), ("h", None)], "path string, content binary")
     got = {(r["path"], r["member"]): (r["text"], r["method"]) for r in extract.extracted_members(files).collect()}
     assert got == {("f.zip", "a.txt"): ("раз", "txt"), ("f.zip", "b.pdf"): ("", "unsupported:pdf"), ("g.txt", ""): ("два", "txt"), ("h", ""): ("", "txt")}
+
+
+def test_release_rows_run_on_a_cluster_without_a_secret(spark, data, monkeypatch):
+    from spanforge.plans import records
+    from spanforge.session import secret
+
+    monkeypatch.delenv("SPANFORGE_SECRET", raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.warns(UserWarning, match="random key"):
+        rows = [r["case_id"] for r in records.release_rows(spark, data).collect()]
+    assert len(set(rows)) == len(rows) == records.cases(spark, data).count() and all(r.startswith("case_") for r in rows)
+    with pytest.raises(ValueError, match="must be set"):
+        secret(spark, "pseudonyms")
