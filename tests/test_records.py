@@ -151,3 +151,13 @@ def test_release_rows_run_on_a_cluster_without_a_secret(spark, data, monkeypatch
     assert len(set(rows)) == len(rows) == records.cases(spark, data).count() and all(r.startswith("case_") for r in rows)
     with pytest.raises(ValueError, match="must be set"):
         secret(spark, "pseudonyms")
+
+
+def test_public_ids_run_on_a_cluster_without_a_secret(spark, data, monkeypatch):
+    from spanforge.plans import records
+
+    monkeypatch.delenv("SPANFORGE_SECRET", raising=False)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.warns(UserWarning, match="random key"):
+        rows = records.public_ids(spark, data).collect()
+    assert len(rows) == records.cases(spark, data).count() and all(r["sound"] for r in rows)
