@@ -50,6 +50,9 @@ rb AS (SELECT query_id, rank, item, norm_id, article FROM bm100 JOIN un USING (i
 rc AS (SELECT query_id, rank, item, norm_id, article FROM cs JOIN un USING (item))
 """
 
+#: The same for every case.
+EVERY = BASE.replace("CAST(regexp_extract(case_id, '(\\d+)$', 1) AS BIGINT) % 50 = 0 AND ", "")
+
 
 def _score(source: str, k: int) -> str:
     return f"""SELECT query_id, e AS exact, a AS article FROM
@@ -97,7 +100,7 @@ SQL = {
     "top_articles": BASE + "SELECT query_id, item, rank FROM (SELECT query_id, article AS item, row_number() OVER (PARTITION BY query_id ORDER BY f, article) AS rank FROM (SELECT query_id, article, min(rank) AS f FROM bm JOIN ca USING (item) WHERE rank <= 30 GROUP BY query_id, article)) WHERE rank <= 5",
     "article_then_points": BASE + """, ta AS (SELECT query_id, article FROM (SELECT query_id, article, row_number() OVER (PARTITION BY query_id ORDER BY f, article) AS n FROM (SELECT query_id, article, min(rank) AS f FROM bm JOIN ca USING (item) WHERE rank <= 30 GROUP BY query_id, article)) WHERE n <= 5)
         SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM (SELECT DISTINCT query_id, item, rank AS r FROM bm JOIN ca USING (item) WHERE (query_id, article) IN (SELECT * FROM ta))) WHERE rank <= 10""",
-    "select_evidence": BASE + """, ch AS (SELECT query_id, item AS article, rank AS ar FROM ar WHERE rank <= 5), ins AS (SELECT query_id, item, article, rank AS r, ch.ar FROM bm JOIN ca USING (item) JOIN ch USING (query_id, article)),
+    "select_evidence": EVERY + """, ch AS (SELECT query_id, item AS article, rank AS ar FROM ar WHERE rank <= 5), ins AS (SELECT query_id, item, article, rank AS r, ch.ar FROM bm JOIN ca USING (item) JOIN ch USING (query_id, article)),
         u AS (SELECT query_id, item, 0 AS part, ar AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id, article ORDER BY r) AS n FROM ins) WHERE n = 1 UNION ALL SELECT query_id, item, 1, r FROM ins),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, item ORDER BY part, p) AS n FROM u)
         SELECT query_id, item, rank FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY part, p) AS rank FROM o WHERE n = 1) WHERE rank <= 10""",

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spanforge.operators import lexical
-from spanforge.plans import retrieval
+from spanforge.plans import retrieval, retrieval_sql
 
 
 def _rows(spark, n, words, seed):
@@ -45,3 +45,10 @@ def test_protected_shortlist_joins_no_pairs_of_query_and_chunk(spark, data):
     b = retrieval.base(spark, data)
     assert "Join" not in _plan(b.bm25()) and "Join" not in _plan(b.cosine())
     assert "Generate" not in _plan(retrieval.protected_shortlist(spark, data))
+
+
+def test_select_evidence_serves_every_case(spark, data):
+    cases = retrieval.base(spark, data).cases.filter("complaint_argument_blind is not null")
+    got = {r["query_id"] for r in retrieval.select_evidence(spark, data).select("query_id").distinct().collect()}
+    assert got == {r["case_id"] for r in cases.collect()}
+    assert "% 50" not in retrieval_sql.SQL["select_evidence"] and "% 50" in retrieval_sql.SQL["source_quota"]
