@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.operators import lexical
-from spanforge.plans import retrieval, retrieval_sql
+from spanforge.plans import evaluation, retrieval, retrieval_sql
 
 
 def _rows(spark, n, words, seed):
@@ -52,3 +53,12 @@ def test_select_evidence_serves_every_case(spark, data):
     got = {r["query_id"] for r in retrieval.select_evidence(spark, data).select("query_id").distinct().collect()}
     assert got == {r["case_id"] for r in cases.collect()}
     assert "% 50" not in retrieval_sql.SQL["select_evidence"] and "% 50" in retrieval_sql.SQL["source_quota"]
+
+
+@pytest.mark.parametrize("name", ("source_quota",))
+def test_no_query_joins_pairs(spark, data, monkeypatch, name):
+    """The searches by join, which shuffle every pair of query and chunk, are not called."""
+    monkeypatch.delattr(lexical, "bm25_search")
+    monkeypatch.delattr(lexical, "set_cosine_search")
+    monkeypatch.setattr(retrieval, "_kept_bases", {})
+    assert (retrieval.QUERIES | evaluation.QUERIES)[name](spark, data).count()
