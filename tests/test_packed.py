@@ -55,7 +55,7 @@ def test_select_evidence_serves_every_case(spark, data):
     assert "% 50" not in retrieval_sql.SQL["select_evidence"] and "% 50" in retrieval_sql.SQL["source_quota"]
 
 
-@pytest.mark.parametrize("name", ("source_quota", "oracle_breakdown", "winner_tie_band",))
+@pytest.mark.parametrize("name", ("source_quota", "oracle_breakdown", "winner_tie_band", "chunks_of_articles",))
 def test_no_query_joins_pairs(spark, data, monkeypatch, name):
     """The searches by join, which shuffle every pair of query and chunk, are not called."""
     monkeypatch.delattr(lexical, "bm25_search")
